@@ -33,16 +33,14 @@ class _Words:
         self.starts, self.ends, self.bounds = ts.words(self.data, self.offsets)
         n = len(self.starts)
         codes = np.empty(n, np.uint64)
-        step = np.append(np.arange(0, n, 1 << 19), n)
+        step = np.append(np.arange(0, n, 1 << 16), n)
         for a, b in zip(step, step[1:], strict=False):  # bounds the hashing's working arrays
             lo, hi = self.starts[a], self.ends[b - 1]
             codes[a:b] = ts.span_hashes(ts.byte_codes()[self.data[lo:hi]], self.starts[a:b] - lo, self.ends[a:b] - lo)
         self.codes = codes
-        at = np.arange(max(0, n - gram + 1))
-        grams = np.full(n, np.iinfo(np.uint64).max, np.uint64)
-        grams[: len(at)] = ts.span_hashes(codes, at, at + gram)
-        self.grams = grams
+        grams = ts.gram_sums(codes, gram)
         self.at, self.pick = ts.minimisers(grams, self.bounds, gram, window)
+        self.grams = ts.mixed(grams)
         self.doc = ts.owners(self.bounds)
         self.window = window
 
@@ -106,20 +104,27 @@ def _removed(w: _Words, elsewhere: np.ndarray) -> np.ndarray:
         return gone[:-1].astype(bool)
     # A phrase leaves documents past the first that holds it; one that a smaller document elsewhere holds leaves all.
     past = np.where(elsewhere[phrases], np.iinfo(np.int64).min, owner[phrases]).tolist()
-    number = np.unique(w.codes, return_inverse=True)[1].astype(np.int64) + 1
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    spans = number[w.sample[phrases][:, None] + np.arange(w.window)].tolist()
-    for value, span in enumerate(spans):
-        automaton.add_word(tuple(span), value)
+    # A word of a phrase is written in two symbols, each of an alphabet of its own, so that no node has many children
+    # and no match begins inside a word; any other word is one that no phrase holds.
+    spans = w.sample[phrases][:, None] + np.arange(w.window)
+    kinds = np.unique(w.codes[spans])
+    number = np.searchsorted(kinds, w.codes)
+    number = np.where(kinds[np.minimum(number, len(kinds) - 1)] == w.codes, number + 1, 0)
+    base = int(np.ceil((len(kinds) + 1) ** 0.5))
+    symbols = np.stack([number // base, base + number % base], 1).astype("<u4") + 0x100
+    symbols += np.where(symbols >= 0xD800, 0x800, 0).astype("<u4")  # past the code points that stand for no character
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    for value, at in enumerate(w.sample[phrases].tolist()):
+        automaton.add_word(symbols[at : at + w.window].tobytes().decode("utf-32-le"), value)
     automaton.make_automaton()
     ids, bounds = w.ids.tolist(), w.bounds.tolist()
     for i, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
         if b - a < w.window:
             continue
         me = ids[i]
-        hits = [end for end, value in automaton.iter(tuple(number[a:b].tolist())) if me > past[value]]
+        hits = [end for end, value in automaton.iter(symbols[a:b].tobytes().decode("utf-32-le")) if me > past[value]]
         if hits:
-            end = np.array(hits) + a
+            end = np.array(hits) // 2 + a
             np.add.at(gone, end - w.window + 1, 1)
             np.add.at(gone, end + 1, -1)
     return np.cumsum(gone[:-1]) > 0

@@ -57,6 +57,18 @@ def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
         return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _BASE)
 
 
+def gram_sums(codes: np.ndarray, size: int) -> np.ndarray:
+    """An unmixed 64-bit hash of the gram of `size` items from each position on; the largest value where there is none."""
+    out = np.full(len(codes), np.iinfo(np.uint64).max, np.uint64)
+    if len(codes) >= size:
+        up, down = powers(len(codes) + 1)
+        with np.errstate(over="ignore"):
+            sums = np.zeros(len(codes) + 1, np.uint64)
+            np.cumsum(codes * up[: len(codes)], out=sums[1:])
+            out[: len(codes) - size + 1] = (sums[size:] - sums[:-size]) * down[: len(codes) - size + 1]
+    return out
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """A string column's bytes, one text after another, and its n + 1 offsets. A null is an empty text."""
     if isinstance(column, pa.ChunkedArray):
@@ -106,9 +118,10 @@ def owners(bounds: np.ndarray) -> np.ndarray:
 
 def room(bounds: np.ndarray, size: int) -> np.ndarray:
     """Positions at which a window of `size` items fits into its text."""
-    last = np.repeat(bounds[1:], np.diff(bounds)) - size
-    at = np.arange(bounds[-1])
-    return at[at <= last]
+    fits = np.ones(bounds[-1], bool)
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        fits[max(a, b - size + 1) : b] = False
+    return np.flatnonzero(fits)
 
 
 def window_min(values: np.ndarray, size: int) -> np.ndarray:
