@@ -27,6 +27,7 @@ NO_ID = np.iinfo(np.int64).max
 class Grid:
     rows: DataFrame  # _block, _id, _text
     shards: int
+    blocks: int
 
     def ask(self, make: Callable, replies: DataFrame | None = None) -> DataFrame:
         """Packets that make(block table[, replies]) gives as (round, sorted uint64 keys, further 64-bit columns...)."""
@@ -51,13 +52,15 @@ class Grid:
         return self.rows.groupBy("_block").cogroup(replies.groupBy("_block")).applyInArrow(lambda docs, heard: block(docs, heard), schema)
 
 
-def grid(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_mb: int = 16) -> Grid:
-    """Deals docs into blocks of about block_mb of text, four for each shuffle partition at least. A null id becomes the largest."""
+def grid(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_mb: int = 4) -> Grid:
+    """Deals docs into blocks of about block_mb of text and into shards, as many as shuffle partitions at least.
+
+    A null id becomes the largest."""
     n = partitions(docs.sparkSession)
     size = docs.select(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
-    blocks, shards = max(4 * n, size // (block_mb << 20)), max(2 * n, size // (2 * block_mb << 20))
+    blocks, shards = max(n, size // (block_mb << 20)), max(n, size // (8 * block_mb << 20))
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(NO_ID))).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    return Grid(rows.select(F.pmod(F.xxhash64("_id"), F.lit(blocks)).cast("int").alias("_block"), "_id", "_text"), int(shards))
+    return Grid(rows.select(F.pmod(F.xxhash64("_id"), F.lit(blocks)).cast("int").alias("_block"), "_id", "_text"), int(shards), int(blocks))
 
 
 def packets(block: int, shards: int, round_: int, keys: np.ndarray, *columns: np.ndarray) -> pa.Table:
@@ -78,12 +81,22 @@ def answers(heard: pa.Table) -> dict[int, list[bytes]]:
     return out
 
 
-def reply(packets_: DataFrame, columns: int, decide: Callable) -> DataFrame:
-    """Each shard's answers. decide(list of arrays of shape (columns, n)) gives the bytes of the answer to each."""
+def unpack(data: bytes, kinds: tuple[str, ...]) -> list[np.ndarray]:
+    """A packet's columns, of the given NumPy types."""
+    n = len(data) // sum(np.dtype(k).itemsize for k in kinds)
+    out, at = [], 0
+    for k in kinds:
+        out.append(np.frombuffer(data, k, n, at))
+        at += n * np.dtype(k).itemsize
+    return out
+
+
+def reply(packets_: DataFrame, columns: int | tuple[str, ...], decide: Callable) -> DataFrame:
+    """Each shard's answers. decide(list of arrays of shape (columns, n), or of lists of columns by type) gives the bytes of the answer to each."""
 
     def shard(table: pa.Table) -> pa.Table:
         data = table.column("_data").to_pylist()
-        parts = [np.frombuffer(x, np.uint64).reshape(columns, -1) for x in data]
+        parts = [unpack(x, columns) if isinstance(columns, tuple) else np.frombuffer(x, np.uint64).reshape(columns, -1) for x in data]
         return pa.table([table.column("_block"), table.column("_shard"), table.column("_round"), pa.array(decide(parts), pa.binary())], schema=_PACKET)
 
     return packets_.groupBy("_shard").applyInArrow(lambda t: shard(t.select(["_block", "_shard", "_round", "_data"])), PACKET)
