@@ -13,13 +13,17 @@ import numpy as np
 END = 256  # after each text; smaller than nothing, equal to itself in sorting only
 
 
-def suffix_order(codes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The suffixes in order, and for each position a number that is the same where `depth` symbols are the same."""
+def suffix_order(codes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, np.ndarray]]]:
+    """The suffixes in order; for each position a number that is the same where `depth` symbols are; such numbers for shorter widths."""
     n = len(codes)
-    rank = codes.astype(np.int64) + 1
-    width, same = 1, None
+    # Seven symbols of nine bits to begin with; 0 past the end.
+    width, same, by_width = min(7, depth), None, []
+    rank = np.zeros(n, np.int64)
+    for i in range(width):
+        rank <<= 9
+        rank[: n - i] += codes[i:].astype(np.int64) + 1
     while True:
-        order = np.argsort(rank, kind="stable")
+        order = np.argsort(rank)
         seen = rank[order]
         new = np.ones(n, bool)
         new[1:] = seen[1:] != seen[:-1]
@@ -31,8 +35,10 @@ def suffix_order(codes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]
             more = np.zeros(n, np.int64)
             more[: n - (depth - width)] = rank[depth - width :] if width < depth else 0
             same = rank * (n + 1) + more
+        if width <= depth:
+            by_width.append((width, rank.astype(np.int32)))
         if dense[-1] == n:
-            return order, same
+            return order, same, by_width[::-1]
         ahead = np.zeros(n, np.int64)
         ahead[:-width] = rank[width:]
         rank = rank * (n + 1) + ahead
@@ -45,7 +51,9 @@ class RunIndex:
     def __init__(self, codes: np.ndarray, depth: int):
         """Matching statistics are exact up to `depth` symbols."""
         self.codes, self.depth, n = codes, depth, len(codes)
-        order, self.same = suffix_order(codes, depth)
+        order, self.same, self.by_width = suffix_order(codes, depth)
+        ends = np.flatnonzero(codes == END)
+        self.left = (np.repeat(ends, np.diff(ends, prepend=-1)) - np.arange(n)).astype(np.int32)  # symbols up to the text's END
         before = codes[order - 1]  # position 0 follows the last END
         new = np.ones(n, bool)
         new[1:] = before[1:] != before[:-1]
@@ -57,22 +65,33 @@ class RunIndex:
         row[order] = np.arange(n)
         self.to = row[(self.head - 1) % n]
         self.back = row[(self.tail - 1) % n]
+        # Where runs start, as bits with counts per word: a row's run is a rank.
+        self.bits = np.packbits(np.append(new, np.zeros(-n % 64, bool)), bitorder="little").view(np.uint64)
+        self.before = np.append(0, np.cumsum(np.bitwise_count(self.bits).astype(np.int64)))
         # Runs by symbol, to find the neighbours that hold it.
         self.by_symbol = np.sort(self.symbol * len(self.run) + np.arange(len(self.run)))
 
+    def run_of(self, row: np.ndarray) -> np.ndarray:
+        word = row >> 6
+        upto = self.bits[word] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(63) - (row & 63).astype(np.uint64)))
+        return self.before[word] + np.bitwise_count(upto) - 1
+
     def agree(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Symbols, at most depth, in which the texts from a and from b agree; END agrees with nothing."""
-        out = np.zeros(len(a), np.int64)
-        alive = np.arange(len(a))
-        n = len(self.codes)
-        for step in range(self.depth):
-            x, y = a[alive] + step, b[alive] + step
-            ok = (x < n) & (y < n)
-            x, y = self.codes[np.minimum(x, n - 1)], self.codes[np.minimum(y, n - 1)]
-            alive = alive[ok & (x == y) & (x != END)]
-            if not len(alive):
-                break
-            out[alive] += 1
+        """Symbols, at most depth, in which the texts from a and from b agree."""
+        most = np.minimum(np.minimum(self.left[a], self.left[b]), self.depth).astype(np.int64)
+        out, n = np.zeros(len(a), np.int64), len(self.codes)
+        for width, rank in self.by_width:
+            while len(on := np.flatnonzero(out + width <= most)):
+                x, y = a[on] + out[on], b[on] + out[on]
+                same = on[rank[x] == rank[y]]
+                out[same] += width
+                if width * 2 <= self.depth or not len(same):
+                    break
+        on = np.arange(len(a))
+        for _ in range(self.by_width[-1][0]):
+            on = on[out[on] < most[on]]
+            on = on[self.codes[np.minimum(a[on] + out[on], n - 1)] == self.codes[np.minimum(b[on] + out[on], n - 1)]]
+            out[on] += 1
         return out
 
     def stream(self, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -91,7 +110,7 @@ class RunIndex:
         while len(alive):
             i, r = at[alive], row[alive]
             c = self.codes[i].astype(np.int64)
-            run = np.searchsorted(self.run, r, "right") - 1
+            run = self.run_of(r)
             same = (self.symbol[run] == c) & (pos[alive] >= 0)
             new_row, new_pos, new_size = np.empty_like(r), np.empty_like(r), np.empty_like(r)
             # Inside a run of the symbol, the mapping keeps the distance from the run's first row.

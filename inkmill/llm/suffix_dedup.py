@@ -30,7 +30,7 @@ _OUT = pa.schema([("_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa
 class _Bytes:
     """The anchors of a block's documents: position, hash, and the hash and bounds of the context."""
 
-    def __init__(self, docs: pa.Table, window: int, gram: int, piece: int = 4 << 20):
+    def __init__(self, docs: pa.Table, window: int, gram: int, piece: int = 1 << 18):
         self.ids = docs.column("_id").to_numpy()
         self.data, self.offsets = ts.utf8(docs.column("_text"))
         step = self.offsets[:-1] // piece
@@ -43,9 +43,7 @@ class _Bytes:
         base = self.offsets[a]
         data, offsets = self.data[base : self.offsets[b]], self.offsets[a : b + 1] - base
         codes = ts.byte_codes()[data]
-        at = np.arange(max(0, len(data) - gram + 1))
-        grams = np.full(len(data), np.iinfo(np.uint64).max, np.uint64)
-        grams[: len(at)] = ts.span_hashes(codes, at, at + gram)
+        grams = ts.gram_sums(codes, gram)
         picked = np.zeros(len(data), bool)
         picked[ts.minimisers(grams, offsets, gram, window)[1]] = True
         pos = np.flatnonzero(picked)
@@ -53,7 +51,7 @@ class _Bytes:
         lo, hi = np.maximum(offsets[doc], pos - (window - gram)), np.minimum(offsets[doc + 1], pos + window)
         # The anchor's place in its context matters where a text's end cuts the context.
         context = ts.span_hashes(codes, lo, hi) ^ ts.mixed((pos - lo).astype(np.uint64))
-        return grams[pos] & ~np.uint64(1), lo + base, hi + base, context, doc + a
+        return ts.mixed(grams[pos]) & ~np.uint64(1), lo + base, hi + base, context, doc + a
 
     def pairs(self, heard: list[bytes]) -> None:
         """Keeps anchors that recur; the distinct (anchor, context) pairs with the block's smallest id for each."""
@@ -119,21 +117,37 @@ def _send(docs: pa.Table, heard: dict, window: int, gram: int) -> tuple:
     return 3, b.key[at], b.owner[at].view(np.uint64), size.astype(np.uint64), *(np.ascontiguousarray(c) for c in columns.T)
 
 
-def _long_matches(parts: list[np.ndarray], window: int) -> list[bytes]:
-    """For each context, 8 bytes: bit j is set where the window from j on also stands in a context of a smaller id."""
+def _long_matches(parts: list[np.ndarray], window: int, most: int = 4096) -> list[bytes]:
+    """For each context, 8 bytes: bit j is set where the window from j on also stands in a context of a smaller id.
+
+    Contexts that share a window share an anchor, so an index holds whole anchors, of about `most` contexts.
+    """
+    key = np.concatenate([p[0] for p in parts])
     owner, size = (np.concatenate([p[i] for p in parts]).view(np.int64) for i in (1, 2))
-    text = np.concatenate([np.ascontiguousarray(p[3:].T).view(np.uint8).reshape(p.shape[1], -1) for p in parts])
+    text = np.concatenate([np.ascontiguousarray(p[3:].T) for p in parts])
+    order = np.argsort(key)
+    anchor = np.append(True, key[order][1:] != key[order][:-1])
+    first = np.flatnonzero(anchor)
+    cuts = first[np.append(True, np.diff(first // most) > 0)]
+    mask = np.zeros(len(key), np.uint64)
+    for rows in np.split(order, cuts[1:]):
+        mask[rows] = _index_matches(text[rows].view(np.uint8), owner[rows], size[rows], window)
+    return [m.tobytes() for m in np.split(mask, np.cumsum([p.shape[1] for p in parts])[:-1])]
+
+
+def _index_matches(text: np.ndarray, owner: np.ndarray, size: np.ndarray, window: int) -> np.ndarray:
     n = len(owner)
     length = size + 1
     start = np.cumsum(length) - length
     codes = np.full(int(length.sum()), END, np.int16)
-    inside = np.arange(text.shape[1]) < size[:, None]
-    codes[(start[:, None] + np.arange(text.shape[1]))[inside]] = text[inside]
+    reach = np.arange(text.shape[1])
+    inside = reach < size[:, None]
+    codes[(start[:, None] + reach)[inside]] = text[inside]
     index = RunIndex(codes, window)
     longest, place = index.stream(start, start + size)
     holder = np.repeat(np.arange(n), length)
     # The smallest id among the documents that hold the same window.
-    order = np.argsort(index.same, kind="stable")
+    order = np.argsort(index.same)
     new = np.ones(len(codes), bool)
     new[1:] = index.same[order][1:] != index.same[order][:-1]
     least = np.empty(len(codes), np.int64)
@@ -142,7 +156,7 @@ def _long_matches(parts: list[np.ndarray], window: int) -> list[bytes]:
     long = long[least[place[long]] < owner[holder[long]]]
     mask = np.zeros(n, np.uint64)
     np.bitwise_or.at(mask, holder[long], np.uint64(1) << (long - start[holder[long]]).astype(np.uint64))
-    return [m.tobytes() for m in np.split(mask, np.cumsum([p.shape[1] for p in parts])[:-1])]
+    return mask
 
 
 def _result(docs: pa.Table, heard: dict, window: int, gram: int) -> pa.Table:
