@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("q01", "q02", "q03", "q04", "q05", "q06", "q08", "q09", "q10")
+MODULES = ("q01", "q02", "q03", "q04", "q05", "q06", "q07", "q08", "q09", "q10")
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
