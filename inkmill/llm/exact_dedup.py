@@ -39,8 +39,8 @@ def _runs(rows: DataFrame, keep: str, *salt: str) -> DataFrame:
     )
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalise: str | Column = "none", keep: str = "largest", hot: int | None = None) -> DataFrame:
-    """One row per row of docs: id, keep_id, group_size, kept, text_sha256 (of the normalised text).
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalise: str | Column = "none", keep: str = "largest", hot: int | None = None, carry: Column | None = None) -> DataFrame:
+    """One row per row of docs: id, keep_id, group_size, kept, text_sha256 (of the normalised text), and carried, if carry is given.
 
     A null text counts as empty. A null id counts as smaller than any other and gives keep_id null only where all ids of
     the group are null. Of rows that repeat an id, one is kept. An empty table gives an empty result. Other columns of
@@ -52,7 +52,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n = partitions(docs.sparkSession)
     hot = hot or max(32, docs.count() // (8 * n))
     text = NORMALISE[normalise](F.coalesce(F.col(text_col), F.lit(""))) if isinstance(normalise, str) else normalise
-    rows = docs.select(F.col(id_col).alias("_id"), text.alias("_text")).withColumns(
+    rows = docs.select(F.col(id_col).alias("_id"), text.alias("_text"), (F.lit(0) if carry is None else carry).alias("_rest")).withColumns(
         {"text_sha256": F.sha2(F.col("_text"), 256), "_head": F.substring("_text", 1, 16), "_tie": F.lit(0)}
     )
     many = F.broadcast(rows.groupBy("text_sha256").count().where(F.col("count") > hot).select("text_sha256", F.ceil(F.col("count") / hot).cast("int").alias("_salts")))
@@ -65,7 +65,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = F.broadcast(heads.join(F.broadcast(whole), ["text_sha256", "_text"]).select("text_sha256", "_salt", "_run", "keep_id", "group_size"))
     merged = salted.join(found, ["text_sha256", "_salt", "_run"])
 
-    out = ["_id", "keep_id", "group_size", "_first", "text_sha256"]
-    a = rare.select("_id", F.col("_leader").alias("keep_id"), F.col("_copies").alias("group_size"), F.col("_last").alias("_first"), "text_sha256")
-    b = merged.select("_id", "keep_id", "group_size", (F.col("_last") & F.col("_id").eqNullSafe(F.col("keep_id"))).alias("_first"), "text_sha256")
-    return a.select(*out).unionAll(b.select(*out)).select(F.col("_id").alias(id_col), "keep_id", "group_size", F.col("_first").alias("kept"), "text_sha256")
+    out = ["_id", "keep_id", "group_size", "_first", "text_sha256", "_rest"]
+    a = rare.select("_id", F.col("_leader").alias("keep_id"), F.col("_copies").alias("group_size"), F.col("_last").alias("_first"), "text_sha256", "_rest")
+    b = merged.select("_id", "keep_id", "group_size", (F.col("_last") & F.col("_id").eqNullSafe(F.col("keep_id"))).alias("_first"), "text_sha256", "_rest")
+    found = a.select(*out).unionAll(b.select(*out))
+    told = [F.col("_id").alias(id_col), "keep_id", "group_size", F.col("_first").alias("kept"), "text_sha256"]
+    return found.select(*told, *([] if carry is None else [F.col("_rest").alias("carried")]))
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
+    """The rows of docs, all columns, that exact_dedup keeps; texts are compared as they are."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = exact_dedup(docs, id_col, text_col, keep=keep, carry=whole).where("kept")
+    return kept.select(*[F.col("carried").getField(c).alias(c) for c in docs.columns])

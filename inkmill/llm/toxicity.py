@@ -146,27 +146,56 @@ def learn(texts: list[str | None], toxic: np.ndarray) -> Model:
     return Model(names, weights, bias)
 
 
+def _scores(texts: pa.Array, model: Model) -> np.ndarray:
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    coded = lists.flatten().dictionary_encode()
+    pairs = [(i, k) for i, word in enumerate(coded.dictionary.to_pylist()) for p in patterns(word) if (k := model.number.get(p)) is not None]
+    table = np.zeros((len(texts), len(model.names)))
+    if pairs:
+        word, kind = np.array(pairs).T
+        index = coded.indices.to_numpy()
+        used = np.zeros(len(coded.dictionary), bool)
+        used[word] = True
+        at = np.flatnonzero(used[index])
+        bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        doc = np.searchsorted(bounds, at, "right") - 1
+        first = np.searchsorted(word, index[at], "left")
+        many = np.searchsorted(word, index[at], "right") - first
+        row = np.repeat(doc, many)
+        which = np.repeat(first, many) + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+        np.add.at(table, (row, kind[which]), 1)
+    return model.scores(table)
+
+
 def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in ts.slices(batch, "_text"):
-            lists = pc.ascii_split_whitespace(pc.fill_null(part.column("_text"), ""))
-            coded = lists.flatten().dictionary_encode()
-            pairs = [(i, k) for i, word in enumerate(coded.dictionary.to_pylist()) for p in patterns(word) if (k := model.number.get(p)) is not None]
-            table = np.zeros((part.num_rows, len(model.names)))
-            if pairs:
-                word, kind = np.array(pairs).T
-                index = coded.indices.to_numpy()
-                used = np.zeros(len(coded.dictionary), bool)
-                used[word] = True
-                at = np.flatnonzero(used[index])
-                bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-                doc = np.searchsorted(bounds, at, "right") - 1
-                first = np.searchsorted(word, index[at], "left")
-                many = np.searchsorted(word, index[at], "right") - first
-                row = np.repeat(doc, many)
-                which = np.repeat(first, many) + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-                np.add.at(table, (row, kind[which]), 1)
-            yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(model.scores(table))], names=["_id", "score"])
+            yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(_scores(part.column("_text"), model))], names=["_id", "score"])
+
+
+def _clean(batches: Iterator[pa.RecordBatch], model: Model, text_col: str, threshold: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in ts.slices(batch, text_col):
+            yield part.filter(pa.array(_scores(part.column(text_col), model) < threshold))
+
+
+def _fold(c: Column, folds: int) -> Column:
+    return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % folds
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, folds: int, held: int, most: int) -> Model:
+    known = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("_label")).where(F.col("_id").isNotNull() & F.col("_label").isNotNull() & (_fold(F.col("_id"), folds) != held))
+    known = known.groupBy("_id").agg(F.max("_label").alias("_label")).orderBy(F.xxhash64("_id"), "_id").limit(most)
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    found = rows.join(F.broadcast(known), "_id").select("_id", "_text", "_label").toArrow()
+    found = found.take(pa.array(np.argsort(found.column("_id").to_numpy(), kind="stable")))
+    return learn(found.column("_text").to_pylist(), found.column("_label").to_numpy().astype(bool))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 3, held: int = 1, threshold: float = 0.7, most: int = 6000) -> DataFrame:
+    """The rows of docs, all columns, whose score stays under the threshold; see toxicity(). Nothing is shuffled."""
+    model = fit(docs, labels, id_col, text_col, label_col, folds, held, most)
+    return docs.mapInArrow(lambda b: _clean(b, model, text_col, threshold), docs.schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 3, held: int = 1, threshold: float = 0.7, most: int = 6000) -> DataFrame:
@@ -176,16 +205,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     learnt from, a null text is empty. Every whole text is scored, empty ones too; score is P(label 1) and predicted is 1 from
     `threshold` on. Language, source and id are no inputs of a score. A null id counts as empty text for held_out. An empty table gives no rows.
     """
-
-    def fold(c: Column) -> Column:
-        return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % folds
-
-    known = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("_label")).where(F.col("_id").isNotNull() & F.col("_label").isNotNull() & (fold(F.col("_id")) != held))
-    known = known.groupBy("_id").agg(F.max("_label").alias("_label")).orderBy(F.xxhash64("_id"), "_id").limit(most)
+    model = fit(docs, labels, id_col, text_col, label_col, folds, held, most)
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    found = rows.join(F.broadcast(known), "_id").select("_id", "_text", "_label").toArrow()
-    order = np.argsort(found.column("_id").to_numpy(), kind="stable")
-    found = found.take(pa.array(order))
-    model = learn(found.column("_text").to_pylist(), found.column("_label").to_numpy().astype(bool))
     scored = rows.mapInArrow(lambda b: _score(b, model), "_id long, score double")
-    return scored.select(F.col("_id").alias(id_col), (fold(F.col("_id")) == held).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return scored.select(F.col("_id").alias(id_col), (_fold(F.col("_id"), folds) == held).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
