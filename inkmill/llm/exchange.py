@@ -29,15 +29,18 @@ class Grid:
     shards: int
     blocks: int
 
-    def ask(self, make: Callable, replies: DataFrame | None = None) -> DataFrame:
-        """Packets that make(block table[, replies]) gives as (round, sorted uint64 keys, further 64-bit columns...)."""
+    def ask(self, make: Callable, replies: DataFrame | None = None, every: bool = False, squeeze: bool = False) -> DataFrame:
+        """Packets that make(block table[, replies]) gives as (round, sorted uint64 keys, further columns...).
+
+        every: also to shards for which there are no keys. squeeze: keys that repeat are sent once, with their number.
+        """
         shards = self.shards
 
         def block(docs: pa.Table, heard: pa.Table | None = None) -> pa.Table:
             if not docs.num_rows:
                 return _PACKET.empty_table()
             number = docs.column("_block")[0].as_py()
-            return packets(number, shards, *(make(docs) if heard is None else make(docs, answers(heard))))
+            return packets(number, shards, *(make(docs) if heard is None else make(docs, answers(heard))), every=every, squeeze=squeeze)
 
         if replies is None:
             return self.rows.groupBy("_block").applyInArrow(lambda docs: block(docs), PACKET)
@@ -58,17 +61,24 @@ def grid(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_
     A null id becomes the largest."""
     n = partitions(docs.sparkSession)
     size = docs.select(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
-    blocks, shards = max(n, size // (block_mb << 20)), max(n, size // (8 * block_mb << 20))
+    blocks, shards = max(n, size // (block_mb << 20)), max(n, size // (2 * block_mb << 20))
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(NO_ID))).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     return Grid(rows.select(F.pmod(F.xxhash64("_id"), F.lit(blocks)).cast("int").alias("_block"), "_id", "_text"), int(shards), int(blocks))
 
 
-def packets(block: int, shards: int, round_: int, keys: np.ndarray, *columns: np.ndarray) -> pa.Table:
-    """One row per shard that has any of the sorted keys; the data are the columns one after another, 8 bytes a value."""
+def squeezed(keys: np.ndarray) -> bytes:
+    """Sorted keys as the number of distinct ones, these, and how often each stands."""
+    at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return np.uint64(len(at)).tobytes() + keys[at].tobytes() + np.diff(at, append=len(keys)).astype(np.uint32).tobytes()
+
+
+def packets(block: int, shards: int, round_: int, keys: np.ndarray, *columns: np.ndarray, every: bool = False, squeeze: bool = False) -> pa.Table:
+    """One row per shard that has any of the sorted keys (or every one); the data are the columns one after another."""
     edges = np.array([(i << 64) // shards for i in range(1, shards)], np.uint64)
     cuts = np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
-    full = np.flatnonzero(np.diff(cuts))
-    data = [b"".join(c[cuts[s] : cuts[s + 1]].tobytes() for c in (keys, *columns)) for s in full]
+    full = np.arange(shards) if every else np.flatnonzero(np.diff(cuts))
+    first = squeezed if squeeze else np.ndarray.tobytes
+    data = [first(keys[cuts[s] : cuts[s + 1]]) + b"".join(c[cuts[s] : cuts[s + 1]].tobytes() for c in columns) for s in full]
     n = len(full)
     return pa.table([pa.array(np.full(n, block, np.int32)), pa.array(full.astype(np.int32)), pa.array(np.full(n, round_, np.int32)), pa.array(data, pa.binary())], schema=_PACKET)
 
@@ -82,9 +92,12 @@ def answers(heard: pa.Table) -> dict[int, list[bytes]]:
 
 
 def unpack(data: bytes, kinds: tuple[str, ...]) -> list[np.ndarray]:
-    """A packet's columns, of the given NumPy types."""
-    n = len(data) // sum(np.dtype(k).itemsize for k in kinds)
+    """A packet's columns, of the given NumPy types; 'runs' at first stands for squeezed keys."""
     out, at = [], 0
+    if kinds[0] == "runs":
+        n = int(np.frombuffer(data, np.uint64, 1)[0])
+        out, kinds, at = [np.repeat(np.frombuffer(data, np.uint64, n, 8), np.frombuffer(data, np.uint32, n, 8 + 8 * n))], kinds[1:], 8 + 12 * n
+    n = (len(data) - at) // sum(np.dtype(k).itemsize for k in kinds)
     for k in kinds:
         out.append(np.frombuffer(data, k, n, at))
         at += n * np.dtype(k).itemsize
@@ -92,14 +105,17 @@ def unpack(data: bytes, kinds: tuple[str, ...]) -> list[np.ndarray]:
 
 
 def reply(packets_: DataFrame, columns: int | tuple[str, ...], decide: Callable) -> DataFrame:
-    """Each shard's answers. decide(list of arrays of shape (columns, n), or of lists of columns by type) gives the bytes of the answer to each."""
+    """Each shard's answers. decide(list of arrays of shape (columns, n), or of lists of columns by type) gives the bytes of the answer to each.
+
+    They are dealt by block here, so that each later round reads this shuffle again instead of asking the shards anew.
+    """
 
     def shard(table: pa.Table) -> pa.Table:
         data = table.column("_data").to_pylist()
         parts = [unpack(x, columns) if isinstance(columns, tuple) else np.frombuffer(x, np.uint64).reshape(columns, -1) for x in data]
         return pa.table([table.column("_block"), table.column("_shard"), table.column("_round"), pa.array(decide(parts), pa.binary())], schema=_PACKET)
 
-    return packets_.groupBy("_shard").applyInArrow(lambda t: shard(t.select(["_block", "_shard", "_round", "_data"])), PACKET)
+    return packets_.groupBy("_shard").applyInArrow(lambda t: shard(t.select(["_block", "_shard", "_round", "_data"])), PACKET).repartition(partitions(packets_.sparkSession), "_block")
 
 
 def bits(masks: list[np.ndarray]) -> list[bytes]:
