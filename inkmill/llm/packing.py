@@ -109,7 +109,7 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end: int,
         return pa.RecordBatch.from_arrays([pa.array(doc, mask=null), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc), pa.array(bins), pa.array(offsets)], schema=_PIECES)
 
     for batch in batches:
-        for part in ts.slices(batch, "_text", 8 << 20):
+        for part in ts.slices(batch, "_text", 2 << 20):
             ids, bounds = encode(part.column("_text"), end)
             size = np.diff(bounds)
             pieces = -(-size // capacity)

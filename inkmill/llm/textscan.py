@@ -82,7 +82,7 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch | pa.Table, column: str, most: int = 4 << 20) -> Iterator[tuple]:
+def slices(batch: pa.RecordBatch | pa.Table, column: str, most: int = 1 << 19) -> Iterator[tuple]:
     """Cuts a batch into runs of rows with about `most` bytes of text; a longer text is a run of its own."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     step = np.cumsum(sizes) // most

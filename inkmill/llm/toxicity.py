@@ -35,11 +35,12 @@ def patterns(word: str) -> list[str]:
     return out
 
 
-def _counts(text: str) -> Counter:
+def _counts(text: str | None, only: set[str] | None = None) -> Counter:
     out: Counter = Counter()
     for word, n in Counter((text or "").split()).items():
         for p in patterns(word):
-            out[p] += n
+            if only is None or p in only:
+                out[p] += n
     return out
 
 
@@ -55,18 +56,23 @@ class Model:
         return 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
 
 
-def voters(counts: list[Counter], toxic: np.ndarray, most: int = 160, support: int = 4) -> list[tuple[str, int]]:
-    """(pattern, least count) voters that speak for toxicity, the most telling first, none that repeats a former one."""
+def voters(texts: list[str | None], toxic: np.ndarray, most: int = 160, support: int = 4) -> tuple[list[tuple[str, int]], list[Counter]]:
+    """(pattern, least count) voters that speak for toxicity, the most telling first, none that repeats a former one; the texts' counts of these.
+
+    Counts of all patterns are held for one text at a time.
+    """
     total = {1: int(toxic.sum()), 0: int((~toxic).sum())}
     seen = {True: Counter(), False: Counter()}
-    for c, t in zip(counts, toxic.tolist(), strict=True):
+    for text, t in zip(texts, toxic.tolist(), strict=True):
         if t:
-            seen[True].update((p, m) for p, n in c.items() for m in _LEAST if n >= m)
-    likely = {v for v, n in seen[True].items() if n >= support}
+            seen[True].update((p, m) for p, n in _counts(text).items() for m in _LEAST if n >= m)
+    seen[True] = Counter({v: n for v, n in seen[True].items() if n >= support})
+    likely = set(seen[True])
     names = {p for p, _ in likely}
+    counts = [_counts(text, names) for text in texts]
     for c, t in zip(counts, toxic.tolist(), strict=True):
         if not t:
-            seen[False].update(v for p in c.keys() & names for m in _LEAST if c[p] >= m and (v := (p, m)) in likely)
+            seen[False].update(v for p in c for m in _LEAST if c[p] >= m and (v := (p, m)) in likely)
 
     def gain(v: tuple[str, int]) -> float:
         a, b = seen[True][v], seen[False][v]
@@ -91,7 +97,7 @@ def voters(counts: list[Counter], toxic: np.ndarray, most: int = 160, support: i
         if len(chosen) < most and not any(len(rows & s) >= 0.95 * len(rows | s) for s in sets):
             chosen.append(v)
             sets.append(frozenset(rows))
-    return chosen
+    return chosen, counts
 
 
 def posterior(votes: np.ndarray, given: np.ndarray, rounds: int = 10) -> np.ndarray:
@@ -133,8 +139,7 @@ def learn(texts: list[str | None], toxic: np.ndarray) -> Model:
     share = float(toxic.mean()) if len(toxic) else 0.0
     if share in (0.0, 1.0):
         return Model([], np.zeros(0), -30.0 if share == 0 else 30.0)
-    counts = [_counts(t) for t in texts]
-    chosen = voters(counts, toxic)
+    chosen, counts = voters(texts, toxic)
     votes = np.array([[c[p] >= m for p, m in chosen] for c in counts], bool).reshape(len(counts), len(chosen))
     names = list(dict.fromkeys(p for p, _ in chosen))
     x = np.log1p(np.array([[c[p] for p in names] for c in counts], float).reshape(len(counts), len(names)))
@@ -169,13 +174,13 @@ def _scores(texts: pa.Array, model: Model) -> np.ndarray:
 
 def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in ts.slices(batch, "_text"):
+        for part in ts.slices(batch, "_text", 1 << 20):
             yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(_scores(part.column("_text"), model))], names=["_id", "score"])
 
 
 def _clean(batches: Iterator[pa.RecordBatch], model: Model, text_col: str, threshold: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in ts.slices(batch, text_col):
+        for part in ts.slices(batch, text_col, 1 << 20):
             yield part.filter(pa.array(_scores(part.column(text_col), model) < threshold))
 
 
