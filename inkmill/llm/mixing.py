@@ -52,7 +52,7 @@ def _prefixed(rows: DataFrame, keys: list[str], chunk: str, what: str, order: li
     return local.join(parts, [*keys, chunk]).withColumn(name, F.col(name) + F.col("_part")).drop("_part")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), limit: int = 3, block: int = 256, chunk_rows: int = 10_000, seed: int = 7) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), limit: int = 3, block: int = 256, chunk_rows: int = 2_000, seed: int = 7) -> DataFrame:
     """One row per row of docs: id, source, size, source_size, target, taken, copies.
 
     size: words of the text; a null text has none. A null source is a source of its own, the last. taken: words that the
@@ -96,7 +96,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         point.withColumn("_cell", F.floor(F.col("_x") * CELLS).cast("int"))
         .join(shares, "_cell")
         .where((F.col("_x") >= F.col("_from")) & (F.col("_x") < F.col("_to")))
-        .withColumns({"_chunk": F.floor(F.col("id") / 65536), "_one": F.lit(1).cast("long")})
+        .withColumns({"_chunk": F.floor(F.col("id") / 2048), "_one": F.lit(1).cast("long")})
     )
     ranked = _prefixed(dealt, src, "_chunk", "_one", ["id"], "_rank")
     rest = F.col("_goal") % F.col("source_size")
@@ -112,11 +112,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     )
 
     # What is taken before a position is a function of its block: two look-ups give a document's share.
-    groups = F.floor(F.col("_blocks") / F.lit(65536)).cast("long")
+    groups = F.floor(F.col("_blocks") / F.lit(2048)).cast("long")
     every = (
         sources.where(F.col("source_size") > 0).withColumn("_blocks", blocks_of)
         .withColumn("_group", F.explode(F.sequence(F.lit(0).cast("long"), groups)))
-        .withColumn("_block", F.explode(F.sequence(F.col("_group") * 65536, F.least(F.col("_group") * 65536 + 65535, F.col("_blocks")))))
+        .withColumn("_block", F.explode(F.sequence(F.col("_group") * 2048, F.least(F.col("_group") * 2048 + 2047, F.col("_blocks")))))
         .select(*src, "_block", F.col("_group").alias("_chunk"), F.least(F.lit(block).cast("long"), F.col("source_size") - F.col("_block") * block).alias("_words"))
         .join(filled, [*src, "_block"], "left")
         .na.fill(0, ["_times", "_clip"])
