@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 FLAGS = "(?U)(?d)"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, however often the body uses it: Spark shares no work inside lambdas and branches."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def matches(c: Column, pattern: str) -> Column:
     return c.rlike(FLAGS + pattern)
 
@@ -22,8 +27,7 @@ def strip(c: Column) -> Column:
 
 def words(c: Column) -> Column:
     """Tokens between white space; an empty array for a blank text."""
-    bare = strip(c)
-    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, FLAGS + r"\s+"))
+    return F.filter(F.split(c, FLAGS + r"\s+"), lambda w: w != "")
 
 
 def n_words(c: Column) -> Column:

@@ -11,7 +11,10 @@ from inkmill.functions import text as tx
 
 def score(sentence: Column) -> Column:
     """Q1."""
-    tokens = tx.words(sentence)
+    return tx.let(tx.words(sentence), lambda tokens: _points(sentence, tokens))
+
+
+def _points(sentence: Column, tokens: Column) -> Column:
     n = F.size(tokens)
     out = tx.matches(sentence, lx.BAD_START) | tx.matches(sentence, r"^\d+") | tx.matches(sentence, lx.FORMULA) | tx.matches(sentence, lx.EMOJI_TWICE)
     kind = (
@@ -35,12 +38,13 @@ def pick(text: Column) -> Column:
         empty = F.lit(None).cast("struct<sentence:string,score:double,n:int>")
         return F.aggregate(items, empty, lambda a, x: F.when(a.isNull() | less(x, a), x).otherwise(a))["sentence"]
 
-    rows = scored(text)
-    tier = lambda least: F.filter(rows, least)
-    return F.coalesce(
-        best(tier(lambda x: x["score"] >= 10), lambda x, a: x["n"] < a["n"]),
-        best(tier(lambda x: x["score"] >= 3), lambda x, a: x["score"] > a["score"]),
-        best(tier(lambda x: x["score"] > 0), lambda x, a: x["score"] > a["score"]),
+    return tx.let(
+        scored(text),
+        lambda rows: F.coalesce(
+            best(F.filter(rows, lambda x: x["score"] >= 10), lambda x, a: x["n"] < a["n"]),
+            best(F.filter(rows, lambda x: x["score"] >= 3), lambda x, a: x["score"] > a["score"]),
+            best(F.filter(rows, lambda x: x["score"] > 0), lambda x, a: x["score"] > a["score"]),
+        ),
     )
 
 
@@ -56,17 +60,19 @@ def definition(sentence: Column) -> Column:
 
 def focused(text: Column, answer: Column, around: int = 3) -> Column:
     """Q3: the first sentence that holds the answer's first 50 characters (else the first one), with `around` on each side."""
-    rows = tx.sentences(text)
     low = F.substring(tx.strip(F.lower(answer)), 1, 50)
-    hit = F.array_position(F.transform(rows, lambda s: F.lower(s).contains(low)), True).cast("int")
-    at = F.greatest(hit, F.lit(1))
-    first = F.greatest(at - around, F.lit(1))
-    return F.when(F.size(rows) == 0, text).otherwise(F.array_join(F.slice(rows, first, at + around - first + 1), " "))
+
+    def around_hit(rows: Column, low: Column) -> Column:
+        hit = F.array_position(F.transform(rows, lambda s: F.lower(s).contains(low)), True).cast("int")
+        part = tx.let(F.greatest(hit, F.lit(1)), lambda at: F.slice(rows, F.greatest(at - around, F.lit(1)), at + around - F.greatest(at - around, F.lit(1)) + 1))
+        return F.when(F.size(rows) == 0, text).otherwise(F.array_join(part, " "))
+
+    return tx.let(low, lambda start: tx.let(tx.sentences(text), lambda rows: around_hit(rows, start)))
 
 
 def answer_gate(text: Column) -> Column:
     """F11 but for duplicates: the picked answer, cut from over 35 to 25 words, if it still scores 1.5 and is a clean option."""
     from .filters import cut_words, is_clean_option
 
-    answer = cut_words(pick(text), 35, 25)
-    return F.when((tx.strip(answer) != "") & (score(answer) >= 1.5) & is_clean_option(answer), answer)
+    cut = tx.let(pick(text), lambda a: cut_words(a, 35, 25))
+    return tx.let(cut, lambda a: F.when((tx.strip(a) != "") & (score(a) >= 1.5) & is_clean_option(a), a))

@@ -24,7 +24,10 @@ def is_publication(c: Column) -> Column:
 def is_noise_unit(text: Column) -> Column:
     """blank, under 15 words, front matter, contents, thanks, cover or imprint."""
     text = F.coalesce(text, F.lit(""))
-    low = tx.strip(F.lower(text))
+    return tx.let(tx.strip(F.lower(text)), lambda low: _noise(text, low))
+
+
+def _noise(text: Column, low: Column) -> Column:
     start = F.array_join(F.slice(tx.words(low), 1, 50), " ")
     toc = F.coalesce(tx.share(tx.lines(text), is_toc_line), F.lit(0.0))
     return (
@@ -42,8 +45,10 @@ def is_toc_block(text: Column) -> Column:
 def is_educational(text: Column) -> Column:
     """none of task, header, colophon, imprint or contents."""
     text = F.coalesce(text, F.lit(""))
-    bare = tx.strip(text)
-    low = F.lower(bare)
+    return tx.let(tx.strip(text), lambda bare: tx.let(F.lower(bare), lambda low: _educational(text, bare, low)))
+
+
+def _educational(text: Column, bare: Column, low: Column) -> Column:
     tokens = tx.words(low)
     task = tx.listed(lx.TASK_WORDS)
     bad = (
@@ -70,7 +75,7 @@ def is_noise_line(line: Column) -> Column:
 def keep_sentences(text: Column, least: int = lx.KEEP_WORDS) -> Column:
     """sentences of enough words, joined by a space; the text as it is if none has."""
     kept = F.filter(tx.sentences(text), lambda s: tx.n_words(s) >= least)
-    return F.when(F.size(kept) > 0, F.array_join(kept, " ")).otherwise(text)
+    return tx.let(kept, lambda k: F.when(F.size(k) > 0, F.array_join(k, " ")).otherwise(text))
 
 
 def is_clean_chunk(text: Column) -> Column:
@@ -83,7 +88,10 @@ def is_clean_chunk(text: Column) -> Column:
 
 def is_clean_option(text: Column) -> Column:
     """3 to 35 words, nothing structural."""
-    bare = tx.strip(text)
+    return tx.let(tx.strip(text), _clean_bare)
+
+
+def _clean_bare(bare: Column) -> Column:
     n = tx.n_words(bare)
     return (n >= 3) & (n <= 35) & ~is_toc_line(bare) & ~tx.matches(bare, lx.COLOPHON) & ~is_publication(bare) & (tx.found(F.lower(bare), lx.STRUCTURAL) == 0)
 

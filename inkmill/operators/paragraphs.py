@@ -18,7 +18,10 @@ def paragraphs(text: Column) -> Column:
 
 def info(text: Column) -> Column:
     """Struct of type, has_bullet, has_numbered, word_count, lines."""
-    rows = tx.lines(text)
+    return tx.let(tx.lines(text), lambda rows: _info(text, rows))
+
+
+def _info(text: Column, rows: Column) -> Column:
     total = F.greatest(F.size(rows), F.lit(1))
     bullets = F.size(F.filter(rows, lambda x: tx.matches(x, lx.BULLET)))
     numbers = F.size(F.filter(rows, lambda x: tx.matches(x, lx.NUMBER)))
@@ -113,7 +116,10 @@ def bulleted(text: Column) -> Column:
 
 def reconstructed(text: Column) -> Column:
     """By the class of P2."""
-    kind = info(text)
+    return tx.let(info(text), lambda kind: _by_class(text, kind))
+
+
+def _by_class(text: Column, kind: Column) -> Column:
     t = kind["type"]
     return (
         F.when(t == "heading", heading_sentence(text)).when(t == "numbered_list", numbered(text)).when(t == "bullet", bulleted(text))
