@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -56,27 +56,32 @@ class Model:
         return 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
 
 
-def voters(texts: list[str | None], toxic: np.ndarray, most: int = 160, support: int = 4) -> tuple[list[tuple[str, int]], list[Counter]]:
+def voters(texts: Sequence, toxic: np.ndarray, most: int = 160, support: int = 4) -> tuple[list[tuple[str, int]], list[Counter]]:
     """(pattern, least count) voters that speak for toxicity, the most telling first, none that repeats a former one; the texts' counts of these.
 
-    Counts of all patterns are held for one text at a time.
+    Counts of all patterns are held for one text at a time. texts may be an Arrow array.
     """
+
+    def each(of: bool | None = None) -> Iterator[str | None]:
+        return (getattr(x, "as_py", lambda x=x: x)() for x, t in zip(texts, toxic.tolist(), strict=True) if of is None or t == of)
+
     total = {1: int(toxic.sum()), 0: int((~toxic).sum())}
     seen = {True: Counter(), False: Counter()}
-    for text, t in zip(texts, toxic.tolist(), strict=True):
-        if t:
-            seen[True].update((p, m) for p, n in _counts(text).items() for m in _LEAST if n >= m)
-    seen[True] = Counter({v: n for v, n in seen[True].items() if n >= support})
-    likely = set(seen[True])
-    names = {p for p, _ in likely}
-    counts = [_counts(text, names) for text in texts]
-    for c, t in zip(counts, toxic.tolist(), strict=True):
-        if not t:
-            seen[False].update(v for p in c for m in _LEAST if c[p] >= m and (v := (p, m)) in likely)
+    often: Counter = Counter()
+    for text in each(True):
+        often.update(_counts(text).keys())
+    names = {p for p, n in often.items() if n >= support}
+    del often
+    for text in each(True):
+        seen[True].update((p, m) for p, n in _counts(text, names).items() for m in _LEAST if n >= m)
+    likely = {v for v, n in seen[True].items() if n >= support}
+    for text in each(False):
+        c = _counts(text, names)
+        seen[False].update(v for p in c for m in _LEAST if c[p] >= m and (v := (p, m)) in likely)
 
     def gain(v: tuple[str, int]) -> float:
         a, b = seen[True][v], seen[False][v]
-        p, q, r = (a + 0.5) / (total[1] + 1), (b + 0.5) / (total[0] + 1), (a + b + 0.5) / (len(counts) + 1)
+        p, q, r = (a + 0.5) / (total[1] + 1), (b + 0.5) / (total[0] + 1), (a + b + 0.5) / (len(toxic) + 1)
         if p < 4 * q:
             return 0.0
         return a * math.log(p / r) + b * math.log(q / r) + (total[1] - a) * math.log((1 - p) / (1 - r)) + (total[0] - b) * math.log((1 - q) / (1 - r))
@@ -85,6 +90,8 @@ def voters(texts: list[str | None], toxic: np.ndarray, most: int = 160, support:
     chosen: list[tuple[str, int]] = []
     sets: list[frozenset] = []
     where: dict[tuple[str, int], set] = {v: set() for _, v in ranked[: 8 * most]}
+    names = {p for p, _ in where}
+    counts = [_counts(text, names) for text in each()]
     of = {}
     for v in where:
         of.setdefault(v[0], []).append(v)
@@ -134,7 +141,7 @@ def train(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25) ->
     return w[:-1], float(w[-1])
 
 
-def learn(texts: list[str | None], toxic: np.ndarray) -> Model:
+def learn(texts: Sequence, toxic: np.ndarray) -> Model:
     """Without documents of both kinds there is nothing to learn: the score is then the share of toxic ones (0 without any)."""
     share = float(toxic.mean()) if len(toxic) else 0.0
     if share in (0.0, 1.0):
@@ -194,7 +201,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     found = rows.join(F.broadcast(known), "_id").select("_id", "_text", "_label").toArrow()
     found = found.take(pa.array(np.argsort(found.column("_id").to_numpy(), kind="stable")))
-    return learn(found.column("_text").to_pylist(), found.column("_label").to_numpy().astype(bool))
+    return learn(found.column("_text"), found.column("_label").to_numpy().astype(bool))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 3, held: int = 1, threshold: float = 0.7, most: int = 6000) -> DataFrame:
