@@ -90,7 +90,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     words, number, least = sources.agg(F.sum("source_size"), F.count(F.lit(1)), F.min(F.when(F.col("_goal") > 0, F.col("target")))).first()
     slots = -(-(words or 0) // block)
     # More slots than blocks, so that the smallest source, too, finds its points; those past a source's target are dropped.
-    slots += slots // 50 + 8 * number + min(slots + 1000, int(3 * words / least)) if least else 0
+    slots += slots // 50 + 8 * number + min(10 * slots + 100_000, int(8 * words / least)) if least else 0
     point = docs.sparkSession.range(slots).withColumn("_x", (F.col("id") + 0.5) * F.lit(PHI)).withColumn("_x", F.col("_x") - F.floor("_x"))
     dealt = (
         point.withColumn("_cell", F.floor(F.col("_x") * CELLS).cast("int"))
