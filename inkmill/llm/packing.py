@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ class _Tokenizer:
     Ids of the `most` first words are kept for later batches; any other word is encoded again.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -50,12 +51,12 @@ class _Tokenizer:
         ids = [self.known.get(w) for w in words]
         new = [i for i, x in enumerate(ids) if x is None]
         for i, x in zip(new, self.tokenizer.encode_batch_fast([words[i] for i in new], add_special_tokens=False), strict=True):
-            ids[i] = np.array(x.ids, np.uint32)
+            ids[i] = x.ids
             if len(self.known) < self.most:
                 self.known[words[i]] = ids[i]
-        ids.append(np.array([end], np.uint32))
-        size = np.array([len(x) for x in ids])
-        flat, at = np.concatenate(ids), np.cumsum(size) - size
+        ids.append([end])
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat, at = np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum())), np.cumsum(size) - size
         # Each text's words, then the end as one more word.
         bounds = lists.offsets.to_numpy().astype(np.int64)
         bounds -= bounds[0]
@@ -109,7 +110,7 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end: int,
         return pa.RecordBatch.from_arrays([pa.array(doc, mask=null), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc), pa.array(bins), pa.array(offsets)], schema=_PIECES)
 
     for batch in batches:
-        for part in ts.slices(batch, "_text", 2 << 20):
+        for part in ts.slices(batch, "_text", 8 << 20):
             ids, bounds = encode(part.column("_text"), end)
             size = np.diff(bounds)
             pieces = -(-size // capacity)
