@@ -22,7 +22,7 @@ from . import textscan as ts
 from .common import settle
 
 _PIECES = pa.schema([("_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("_bin", pa.int64()), ("_offset", pa.int64())])
-_tokenizers: dict[str, _Tokenizer] = {}
+_tokenizers: dict[tuple, _Tokenizer] = {}
 
 
 class _Tokenizer:
@@ -31,17 +31,17 @@ class _Tokenizer:
     Ids of the `most` first words are kept for later batches; any other word is encoded again.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
 
     @classmethod
-    def of(cls, path: str) -> _Tokenizer:
-        if path not in _tokenizers:
-            _tokenizers[path] = cls(path)
-        return _tokenizers[path]
+    def of(cls, path: str, most: int) -> _Tokenizer:
+        if (path, most) not in _tokenizers:
+            _tokenizers[path, most] = cls(path, most)
+        return _tokenizers[path, most]
 
     def __call__(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids, each text followed by the id `end`, and n + 1 offsets."""
@@ -94,10 +94,10 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     return bins, offsets
 
 
-def _pack(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end: int, most: int) -> Iterator[pa.RecordBatch]:
+def _pack(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end: int, most: int, piece_bytes: int, words: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    encode, base = _Tokenizer.of(path), TaskContext.get().partitionId() << 33
+    encode, base = _Tokenizer.of(path, words), TaskContext.get().partitionId() << 33
     kept: list[list[np.ndarray]] = []
     count = 0
 
@@ -110,7 +110,7 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end: int,
         return pa.RecordBatch.from_arrays([pa.array(doc, mask=null), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc), pa.array(bins), pa.array(offsets)], schema=_PIECES)
 
     for batch in batches:
-        for part in ts.slices(batch, "_text", 8 << 20):
+        for part in ts.slices(batch, "_text", piece_bytes):
             ids, bounds = encode(part.column("_text"), end)
             size = np.diff(bounds)
             pieces = -(-size // capacity)
@@ -131,16 +131,17 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end: int,
         yield packed()
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end: int = 0, slack: int = 4, group: int = 50_000, most: int = 200_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end: int = 0, slack: int = 4, group: int = 50_000, most: int = 200_000, piece_bytes: int = 2 << 20, words: int = 300_000) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document is its text's token ids (a null text: none) and then the id `end`; only one longer than capacity is cut, into pieces of
     that length and a rest. tokenizer: path of a file for the library tokenizers whose pre-tokenizer drops white space. Rows that repeat an
     id are packed each for itself, and null ids stay null. Bins with at most `slack` free places leave at
     once; a group packs about `group` underfull bins again. An empty table gives no rows; other columns aren't read.
+    A worker tokenises piece_bytes of text at a time and keeps the ids of `words` words: more of both takes memory and saves time.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    pieces = settle(rows.mapInArrow(lambda b: _pack(b, tokenizer, capacity, end, most), "_id long, piece int, start long, length long, ids_crc32 long, _bin long, _offset long"), "pieces")
+    pieces = settle(rows.mapInArrow(lambda b: _pack(b, tokenizer, capacity, end, most, piece_bytes, words), "_id long, piece int, start long, length long, ids_crc32 long, _bin long, _offset long"), "pieces")
     # root: a bin of the first round; bin and shift: where its items stand now.
     open_ = settle(pieces.groupBy("_bin").agg(F.sum("length").alias("fill")).where(F.col("fill") < capacity - slack).select(F.col("_bin").alias("root"), "_bin", F.lit(0).cast("long").alias("shift"), "fill"), "open")
     moved = None

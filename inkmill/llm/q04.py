@@ -15,7 +15,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048, end=0)
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048, end=0, piece_bytes=8 << 20, words=600_000)
 
 
 QUERIES = {"op4_packing": op4_packing}
