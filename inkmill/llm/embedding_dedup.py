@@ -1,7 +1,8 @@
 """Embedding near-dedup with spherical-cap filters from structured random product codes.
 
-A filter is a direction made of one random code word for each block of the rotated vector; a vector passes all filters whose
-direction it meets closely enough, found by list-decoding block by block. Vectors that share a filter are compared in double precision.
+A filter is a direction made of one random code word for each block of the rotated vector; a vector passes the filters whose
+directions it meets most closely, found by list-decoding block by block, so that none is without filters. Several independent rotations have filters
+of their own. Vectors that share a filter are compared in double precision.
 Copies of a vector are one class. A filter that many vectors pass is dealt into blocks of bounded size, and pairs
 of blocks are compared in different tasks, so no pair of a filter is left out.
 """
@@ -10,7 +11,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -24,40 +24,48 @@ from .components import components
 class Codes:
     """Product codes for vectors of a dimension: `blocks` blocks of `words` unit vectors each, after a random rotation."""
 
-    def __init__(self, dimension: int, blocks: int, words: int, passed: float, seed: int):
+    def __init__(self, dimension: int, blocks: int, words: int, passed: int, seed: int | list[int]):
         random = np.random.default_rng(seed)
         self.rotation = np.linalg.qr(random.standard_normal((dimension, dimension)))[0]
         self.cuts = np.linspace(0, dimension, blocks + 1).astype(int)
-        self.words = words
+        self.words, self.passed = words, passed
         self.tables = []
         for a, b in zip(self.cuts, self.cuts[1:], strict=False):
             table = random.standard_normal((words, b - a))
             self.tables.append(table / np.linalg.norm(table, axis=1, keepdims=True))
-        # A unit vector's score with a random direction is about normal with this deviation.
-        self.least = NormalDist().inv_cdf(1 - passed / words**blocks) * math.sqrt(blocks / dimension)
 
-    def decode(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All (row, filter) with a score of at least `least`; partial sums that can't reach it are cut off."""
+    def decode(self, unit: np.ndarray) -> np.ndarray:
+        """Each row's `passed` filters of the largest scores. What isn't among the best of the blocks so far can't be among the best in the end."""
         turned = unit @ self.rotation
-        scores = [turned[:, a:b] @ t.T for a, b, t in zip(self.cuts, self.cuts[1:], self.tables, strict=False)]
-        best = np.cumsum([s.max(1) for s in scores[::-1]], axis=0)[::-1]  # what the blocks from here on can add
-        row, name, total = np.arange(len(unit)), np.zeros(len(unit), np.int64), np.zeros(len(unit))
-        for k, s in enumerate(scores):
-            rest = best[k + 1] if k + 1 < len(scores) else np.zeros(len(unit))
-            i, word = np.nonzero(total[:, None] + s[row] >= (self.least - rest[row])[:, None])
-            row, name, total = row[i], name[i] * self.words + word, total[i] + s[row[i], word]
-        return row, name
-
-
-def _filters(batches: Iterator[pa.RecordBatch], make: tuple) -> Iterator[pa.RecordBatch]:
-    codes = Codes(*make)
+        name, total = np.zeros((len(unit), 1), np.int64), np.zeros((len(unit), 1))
+        for a, b, t in zip(self.cuts, self.cuts[1:], self.tables, strict=False):
+            s = turned[:, a:b] @ t.T
+            word = np.argpartition(-s, min(self.passed, self.words) - 1, axis=1)[:, : self.passed]
+            total = (total[:, :, None] + np.take_along_axis(s, word, 1)[:, None, :]).reshape(len(unit), -1)
+            name = (name[:, :, None] * self.words + word[:, None, :]).reshape(len(unit), -1)
+            best = np.argsort(-total, axis=1, kind="stable")[:, : self.passed]
+            name, total = np.take_along_axis(name, best, 1), np.take_along_axis(total, best, 1)
+        return name
+
+
+def rotations_of(dimension: int, count: int, load: int, passed: float, rotations: int, seed: int) -> list[tuple]:
+    """What the codes for `count` vectors are made of, a tuple for each rotation."""
+    directions = max(16.0, count * passed / load)
+    blocks = min(dimension, 2 if directions < 4e6 else 3)
+    words = max(4, math.ceil(directions ** (1 / blocks)))
+    return [(dimension, blocks, words, math.ceil(min(passed, words**blocks / 2)), [seed, k]) for k in range(rotations)]
+
+
+def _filters(batches: Iterator[pa.RecordBatch], make: list[tuple]) -> Iterator[pa.RecordBatch]:
+    codes = [Codes(*m) for m in make]
     for batch in batches:
         for start in range(0, batch.num_rows, 2048):
             part = batch.slice(start, 2048)
             x = np.stack([np.frombuffer(v, np.float64) for v in part.column("data").to_pylist()])
-            row, name = codes.decode(x / np.linalg.norm(x, axis=1, keepdims=True))
-            at = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(name), part.column("id").take(at), part.column("data").take(at)], names=["filter", "id", "data"])
+            x = x / np.linalg.norm(x, axis=1, keepdims=True)
+            names = np.concatenate([c.decode(x) * len(codes) + k for k, c in enumerate(codes)], axis=1)
+            at = pa.array(np.repeat(np.arange(len(x)), names.shape[1]))
+            yield pa.RecordBatch.from_arrays([pa.array(names.ravel()), part.column("id").take(at), part.column("data").take(at)], names=["filter", "id", "data"])
 
 
 def _packed(batches: Iterator[pa.RecordBatch], dimension: int) -> Iterator[pa.RecordBatch]:
@@ -99,11 +107,11 @@ def _near(table: pa.Table, least: float) -> pa.Table:
     return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.95, load: int = 32, passed: float = 10.0, block: int = 512, seed: int = 11) -> DataFrame:
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.95, load: int = 32, passed: float = 10.0, rotations: int = 2, block: int = 512, seed: int = 11) -> DataFrame:
     """One row per row of vectors: id, n_links, component_id, kept.
 
-    Vectors link whose cosine in double precision is at least `least` and that share a filter (a vector passes about `passed` filters, of
-    so many that about `load` vectors pass one). n_links counts the other vectors linked directly, copies included; component_id is
+    Vectors link whose cosine in double precision is at least `least` and that share a filter (a vector passes `passed` filters of each
+    rotation, of so many that about `load` vectors pass one). n_links counts the other vectors linked directly, copies included; component_id is
     the smallest id reachable; kept where it is the row's own. Null or zero vectors, such with null or non-finite components, and such of another
     length than the longest link with nothing, as do rows with a null id (null component, not kept). An empty table gives no rows. Other columns aren't read.
     """
@@ -115,10 +123,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     packed = settle(rows.where("id IS NOT NULL").mapInArrow(lambda b: _packed(b, dimension), "id long, data binary"), "packed")
     classes = settle(packed.groupBy("data").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
     count = classes.count()
-    directions = max(16.0, count * passed / load)
-    blocks = min(dimension, 2 if directions < 4e6 else 3)
-    words = max(4, math.ceil(directions ** (1 / blocks)))
-    make = (dimension, blocks, words, min(passed, words**blocks / 2), seed)
+    make = rotations_of(dimension, count, load, passed, rotations, seed)
     passing = settle(classes.select(F.col("rep").alias("id"), "data").mapInArrow(lambda b: _filters(b, make), "filter long, id long, data binary"), "passing")
     sizes = passing.groupBy("filter").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("parts"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
     own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
