@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -40,25 +40,20 @@ _TOKEN = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.+\-]*")
 _RANK = {"or": 1, "and": 2, "with": 3}
 
 
-def licences(expression: str) -> list[frozenset[str]]:
-    """The alternatives of a licence expression, each the set of licences that hold together, by shunting-yard.
+def _read(expression: str, leaf: Callable, joined: Callable):
+    """The value of a licence expression by shunting-yard: leaf(licence), joined(operator, left, right); None without a licence.
 
     `with` binds an exception to its licence, `and` joins, `or` separates. Reading stops at what can't go on; what
-    was read up to there counts. An expression without a licence gives no alternative.
+    was read up to there counts.
     """
-    output: list[list[frozenset[str]]] = []
+    output: list = []
     stack: list[str] = []
 
     def apply(op: str) -> None:
         if len(output) < 2:
             return
         right, left = output.pop(), output.pop()
-        if op == "or":
-            output.append(left + right)
-        elif op == "and":
-            output.append([a | b for a in left for b in right][:64])
-        else:
-            output.append([frozenset(f"{x} with {y}" for x in a for y in b) for a in left for b in right][:64])
+        output.append(joined(op, left, right))
 
     operand = True
     for token in _TOKEN.findall(expression):
@@ -77,14 +72,43 @@ def licences(expression: str) -> list[frozenset[str]]:
                 break
             stack.pop()
         elif low not in _RANK and token not in "()" and operand:
-            output.append([frozenset([low])])
+            output.append(leaf(low))
             operand = False
         else:
             break
     while stack:
         if (op := stack.pop()) != "(":
             apply(op)
-    return output[0] if output else []
+    return output[0] if output else None
+
+
+def licences(expression: str) -> list[frozenset[str]]:
+    """The alternatives of a licence expression, each the set of licences that hold together; none without a licence.
+
+    Their number can double with each `and` of two `or`s; `families` needs none of them.
+    """
+
+    def joined(op: str, left: list[frozenset[str]], right: list[frozenset[str]]) -> list[frozenset[str]]:
+        if op == "or":
+            return left + right
+        if op == "and":
+            return [a | b for a in left for b in right]
+        return [frozenset(f"{x} with {y}" for x in a for y in b) for a in left for b in right]
+
+    return _read(expression, lambda low: [frozenset([low])], joined) or []
+
+
+def families(expression: str) -> set[str]:
+    """The families of all licences of an expression, whatever alternative they stand in; exceptions have none."""
+
+    def joined(op: str, left: set[str], right: set[str]) -> set[str]:
+        if op == "with":
+            return left
+        small, large = sorted((left, right), key=len)
+        large |= small
+        return large
+
+    return _read(expression, lambda low: {label(low)}, joined) or set()
 
 
 def label(licence: str) -> str:
@@ -125,8 +149,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         tags += 1
                 if tags:
                     for found in _EXPRESSION.findall(raw[a:b].decode()):
-                        for choice in licences(found):
-                            more.update(label(x) for x in choice)
+                        more |= families(found)
                 first, last = (text.count(" ", 0, at[0]), text.count(" ", 0, at[-1])) if at else (None, None)
                 if len(at) > 1:
                     first, last = text.count(" ", 0, min(at)), text.count(" ", 0, max(at))

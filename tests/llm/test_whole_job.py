@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from inkmill.llm.embedding_dedup import Codes, near_vectors, rotations_of
+from inkmill.llm.license_scan import families, label, licences, license_scan
 
 
 def close_pairs(n, dimension, cosine, seed=5):
@@ -36,3 +37,15 @@ def test_pairs_near_the_threshold_link(spark, pairs):
     got = {r["vec_id"]: r["component_id"] for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
     assert sum(got[pairs + i] == i for i in range(pairs)) > 0.95 * pairs
     assert all(got[2 * pairs + i] == i for i in range(200))
+
+
+def test_all_licences_of_long_expressions(spark):
+    names = [f"{a}{b}" for a in "abcdefghijklmnopqrst" for b in "xy"]  # 20 pairs: 2^20 alternatives
+    paired = " AND ".join(f"({a}-1.0 OR {b}-2.0)" for a, b in zip(names[::2], names[1::2], strict=True))
+    nine = "({}) and ({})".format(*(" or ".join(f"{s}{c}" for c in "abcdefghi") for s in "pq"))
+    df = spark.createDataFrame([(1, "SPDX-License-Identifier: " + paired), (2, "SPDX-License-Identifier: " + nine)], "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in license_scan(df).collect()}
+    assert got[1] == ",".join(sorted(names)) and got[2] == ",".join(sorted(s + c for s in "pq" for c in "abcdefghi"))
+    for e in ("A OR B AND C-1.0 WITH D", "(GPL-2.0 OR MIT) WITH (X OR Y)", "(A AND B) WITH C OR", "A AND (B", ")", ""):
+        assert families(e) == {label(x) for choice in licences(e) for x in choice}
+    assert len(licences("(A OR B)" + " AND (A OR B)" * 6)) == 128
