@@ -44,6 +44,8 @@ COMPLETE = r"[.!?]\s*$"
 LIST_START = r"^(\d+\.|[•\-*])"
 STRIP_NUMBER = r"^(\d+\.|[a-zA-Z]\.)\s*"
 ACRONYM = r"\b([A-Z][A-Z/]{1,5})\b"
+# The same with boundaries spelled out: letters, numbers and the underscore of all scripts make words, marks don't.
+ACRONYM_ALL = r"(?<![\p{L}\p{N}_])([A-Z][A-Z/]{1,5})(?:(?<=[\p{L}\p{N}_])(?![\p{L}\p{N}_])|(?<![\p{L}\p{N}_])(?=[\p{L}\p{N}_]))"
 BAD_START = (
     r"(?i)^(bab|gambar|tabel|pertama|kedua|ketiga|keempat|kelima|keenam|ketujuh|kedelapan|berikut|adalah|kemudian|selain|adapun|oleh|"
     r"berikut adalah penjelasan tentang|cara kerjanya|cara kerja|rumus|contoh|misalnya|perhatikan|lihat|amati|pilih|lakukan|"

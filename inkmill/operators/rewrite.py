@@ -19,9 +19,9 @@ def expand_slang(text: Column) -> Column:
     return F.array_join(F.transform(pieces, lambda p: F.coalesce(F.try_element_at(table, F.lower(p)), p)), "")
 
 
-def acronyms(text: Column) -> Column:
+def acronyms(text: Column, pattern: str = "(?U)" + lx.ACRONYM) -> Column:
     """Distinct candidates of X9, in the order of their first occurrence."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit("(?U)" + lx.ACRONYM), 1))
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), 1))
 
 
 def accepted_title(titles: Column, acronym: Column) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkmill.functions import lexicon as lx
 from inkmill.functions import text as tx
 from inkmill.operators import answers, chunking, clean, distractors, filters, paragraphs, quiz, rewrite
 
@@ -94,6 +95,11 @@ def acronym_candidates(spark, sf_dir):
     return rows.select("doc_id", F.posexplode(rewrite.acronyms(F.col("text"))).alias("pos", "abbr"))
 
 
+def acronym_candidates_all(spark, sf_dir):
+    """Over all documents, with Unicode's word boundaries, for which DuckDB has no pattern."""
+    return _docs(spark, sf_dir).select("doc_id", F.posexplode(rewrite.acronyms(F.col("text"), lx.ACRONYM_ALL)).alias("pos", "abbr"))
+
+
 def sentence_chunks(spark, sf_dir):
     return chunking.sentence_chunks(_docs(spark, sf_dir), "text").drop("method")
 
@@ -196,7 +202,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         pipeline_chunks, clean_blocks, paragraph_classes, noise_documents, block_filters, task_block_filter, merge_short_paragraphs, sentence_split, sentence_filter, answer_scores, pick_answer,
-        focused_context, distractors_by_overlap, acronym_candidates, sentence_chunks, split_large, semantic_breaks, semantic_chunks, section_context, slang_normalise, list_reconstruction,
+        focused_context, distractors_by_overlap, acronym_candidates, acronym_candidates_all, sentence_chunks, split_large, semantic_breaks, semantic_chunks, section_context, slang_normalise, list_reconstruction,
         punctuation_restore, acronym_expand, definition_distractors, question_normalise, question_prompts, llm_json_parse, quiz_score, quiz_recap, choices_shuffled, language_statistics,
         stage_trace, quiz_questions, quiz_choices,
     )
