@@ -89,7 +89,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     )
     words, number, least = sources.agg(F.sum("source_size"), F.count(F.lit(1)), F.min(F.when(F.col("_goal") > 0, F.col("target")))).first()
     slots = -(-(words or 0) // block)
-    # More slots than blocks, so that the smallest source, too, finds its points; those past a source's target are dropped.
+    # More slots than blocks, so that small sources, too, find their points; those past a source's target are dropped.
     slots += slots // 50 + 8 * number + min(10 * slots + 100_000, int(8 * words / least)) if least else 0
     point = docs.sparkSession.range(slots).withColumn("_x", (F.col("id") + 0.5) * F.lit(PHI)).withColumn("_x", F.col("_x") - F.floor("_x"))
     dealt = (
@@ -101,9 +101,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     ranked = _prefixed(dealt, src, "_chunk", "_one", ["id"], "_rank")
     rest = F.col("_goal") % F.col("source_size")
     blocks_of = F.ceil(F.col("source_size") / F.lit(block)).cast("long")
+    last = (F.floor(F.col("_goal") / F.col("source_size")) * blocks_of + F.ceil(rest / F.lit(block))).cast("long")
+    # However few points a source finds, it gets all its slots: those that the schedule lacks stand after it.
+    met = dealt.groupBy(*src).agg(F.sum("_one").alias("_met"))
+    missing = sources.where("_goal > 0").withColumn("_last", last).join(met, src, "left").withColumn("_met", F.coalesce("_met", F.lit(0).cast("long"))).where("_met < _last")
+    missing = missing.select(*src, F.explode(F.sequence("_met", F.col("_last") - 1)).alias("_rank"))
     filled = (
-        ranked.join(sources, src)
-        .withColumns({"_blocks": blocks_of, "_last": (F.floor(F.col("_goal") / F.col("source_size")) * blocks_of + F.ceil(rest / F.lit(block))).cast("long")})
+        ranked.select(*src, "_rank").unionAll(missing).join(sources, src)
+        .withColumns({"_blocks": blocks_of, "_last": last})
         .where(F.col("_rank") < F.col("_last"))
         # The last slot takes only the words that the target still lacks.
         .withColumn("_part", F.when((F.col("_rank") == F.col("_last") - 1) & (rest > 0), (rest - 1) % F.lit(block) + 1).otherwise(F.lit(0)))

@@ -7,6 +7,7 @@ import pytest
 
 from inkmill.llm.embedding_dedup import Codes, near_vectors, rotations_of
 from inkmill.llm.license_scan import families, label, licences, license_scan
+from inkmill.llm.mixing import mix
 
 
 def close_pairs(n, dimension, cosine, seed=5):
@@ -49,3 +50,9 @@ def test_all_licences_of_long_expressions(spark):
     for e in ("A OR B AND C-1.0 WITH D", "(GPL-2.0 OR MIT) WITH (X OR Y)", "(A AND B) WITH C OR", "A AND (B", ")", ""):
         assert families(e) == {label(x) for choice in licences(e) for x in choice}
     assert len(licences("(A OR B)" + " AND (A OR B)" * 6)) == 128
+
+
+def test_tiny_sources_get_their_targets(spark):
+    rows = [(1, "a b c", "s"), (2, "a", "t"), (3, "a b c d e f g h i j", "u"), *((i, "w " * 500_000, "v") for i in range(4, 12))]
+    got = {r["doc_id"]: r for r in mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert [(got[i]["taken"], got[i]["copies"]) for i in (1, 2, 3)] == [(9, 3), (3, 3), (30, 3)]
