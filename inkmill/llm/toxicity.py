@@ -1,9 +1,9 @@
 """Toxicity by weak supervision.
 
-Voters are induced from labelled training documents: a word, or a word beginning, that occurs at least m times. A generative label
-model estimates how often each voter speaks up in toxic and in clean documents and how far voters repeat each
-other, which lowers their weight; given labels are one more voter, not beyond doubt. A linear classifier on the counts of the voters' patterns is then trained
-on the posterior labels. Scoring is one pass over the documents without a shuffle.
+Voters are proposed by one half of a bounded sample of labelled documents, its development half: a word (lexicon), or a word beginning
+(pattern), that occurs at least m times. A generative label model estimates from the votes in both halves how often each voter speaks up in toxic
+and in clean documents and how far voters repeat each other, which lowers their weight; labels are no votes, and those of the other half are never used.
+A linear classifier on the counts of the voters' patterns is then trained on the posterior labels. Scoring is one pass over the documents without a shuffle.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as ts
+from .common import forget, settle
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 _BEGINNINGS = range(3, 8)
@@ -56,8 +57,8 @@ class Model:
         return 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
 
 
-def voters(texts: Sequence, toxic: np.ndarray, most: int = 160, support: int = 4) -> tuple[list[tuple[str, int]], list[Counter]]:
-    """(pattern, least count) voters that speak for toxicity, the most telling first, none that repeats a former one; the texts' counts of these.
+def voters(texts: Sequence, toxic: np.ndarray, most: int = 160, support: int = 4) -> list[tuple[str, int]]:
+    """(pattern, least count) voters that speak for toxicity, the most telling first, none that repeats a former one: `most` at the most, out of eight times as many.
 
     Counts of all patterns are held for one text at a time. texts may be an Arrow array.
     """
@@ -91,11 +92,11 @@ def voters(texts: Sequence, toxic: np.ndarray, most: int = 160, support: int = 4
     sets: list[frozenset] = []
     where: dict[tuple[str, int], set] = {v: set() for _, v in ranked[: 8 * most]}
     names = {p for p, _ in where}
-    counts = [_counts(text, names) for text in each()]
     of = {}
     for v in where:
         of.setdefault(v[0], []).append(v)
-    for i, c in enumerate(counts):
+    for i, text in enumerate(each()):
+        c = _counts(text, names)
         for p in c.keys() & of.keys():
             for v in of[p]:
                 if c[p] >= v[1]:
@@ -104,25 +105,32 @@ def voters(texts: Sequence, toxic: np.ndarray, most: int = 160, support: int = 4
         if len(chosen) < most and not any(len(rows & s) >= 0.95 * len(rows | s) for s in sets):
             chosen.append(v)
             sets.append(frozenset(rows))
-    return chosen, counts
+    return chosen
+
 
+def posterior(votes: np.ndarray, development: np.ndarray, toxic: np.ndarray, trust: float = 1.0, rounds: int = 10) -> np.ndarray:
+    """P(toxic) of each document by the label model, from the votes alone (documents x voters).
 
-def posterior(votes: np.ndarray, given: np.ndarray, rounds: int = 10) -> np.ndarray:
-    """P(toxic) of each document by the label model. votes: documents x voters; given: the labels, as a voter that may be wrong."""
-    every = np.column_stack([votes, given]).astype(float)
-    y = np.where(given, 0.95, 0.05 * given.mean() + 0.01)
+    The labels `toxic` of the development documents give the estimates' start, their prior (each counts `trust` documents) and, after each
+    round, slope and offset of the log odds, as voters depend on each other beyond what damping removes. No label is a vote.
+    """
+    every = votes.astype(float)
+    told = every[development]
+    hits, known = np.stack([told[toxic == k].sum(0) for k in (False, True)]) * trust, np.array([(~toxic).sum(), toxic.sum()]) * trust
+    false, hit = (hits + 0.5) / (known[:, None] + 1)
+    weight = np.ones(every.shape[1])
     for _ in range(rounds):
-        prior = y.mean()
-        hit = (y @ every + 0.5) / (y.sum() + 1)
-        false = ((1 - y) @ every + 0.5) / ((1 - y).sum() + 1)
+        z = every @ (weight * np.log(hit / false)) + (1 - every) @ (weight * np.log((1 - hit) / (1 - false)))
+        slope, offset = train(z[development][:, None], toxic.astype(float), ridge=0.01, rounds=60)
+        y = 1 / (1 + np.exp(-np.clip(max(slope[0], 0.0) * z + offset, -30, 30)))
+        hit = (y @ every + hits[1] + 0.5) / (y.sum() + known[1] + 1)
+        false = ((1 - y) @ every + hits[0] + 0.5) / ((1 - y).sum() + known[0] + 1)
+        # Voters that go together beyond what the class explains count for less.
         rest = every - np.outer(y, hit) - np.outer(1 - y, false)
         scale = np.sqrt((rest**2).mean(0)) + 1e-9
         alike = (rest.T @ rest) / len(rest) / np.outer(scale, scale)
         np.fill_diagonal(alike, 0)
         weight = 1 / (1 + np.maximum(alike, 0).sum(1))
-        weight[-1] = 1.0
-        z = np.log(prior / (1 - prior)) + every @ (weight * np.log(hit / false)) + (1 - every) @ (weight * np.log((1 - hit) / (1 - false)))
-        y = np.clip(1 / (1 + np.exp(-np.clip(z, -30, 30))), 1e-4, 1 - 1e-4)
     return y
 
 
@@ -141,21 +149,24 @@ def train(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25) ->
     return w[:-1], float(w[-1])
 
 
-def learn(texts: Sequence, toxic: np.ndarray) -> Model:
-    """Without documents of both kinds there is nothing to learn: the score is then the share of toxic ones (0 without any)."""
+def learn(texts: Sequence, toxic: np.ndarray, development: np.ndarray) -> Model:
+    """Voters come from the development rows; the label model and the classifier learn from the votes in all rows, without their labels.
+
+    Without development documents of both kinds there is nothing to learn: the score is then the share of toxic ones (0 without any).
+    """
+    if not development.any() or toxic[development].all() or not toxic[development].any():
+        development = np.ones(len(toxic), bool)
     share = float(toxic.mean()) if len(toxic) else 0.0
     if share in (0.0, 1.0):
         return Model([], np.zeros(0), -30.0 if share == 0 else 30.0)
-    chosen, counts = voters(texts, toxic)
-    votes = np.array([[c[p] >= m for p, m in chosen] for c in counts], bool).reshape(len(counts), len(chosen))
+    at = np.flatnonzero(development)
+    chosen = voters(texts.take(pa.array(at)) if hasattr(texts, "take") else [texts[i] for i in at], toxic[at])
     names = list(dict.fromkeys(p for p, _ in chosen))
+    only = set(names)
+    counts = [_counts(getattr(x, "as_py", lambda x=x: x)(), only) for x in texts]
+    votes = np.array([[c[p] >= m for p, m in chosen] for c in counts], bool).reshape(len(counts), len(chosen))
     x = np.log1p(np.array([[c[p] for p in names] for c in counts], float).reshape(len(counts), len(names)))
-    weights, bias = train(x, posterior(votes, toxic))
-    # The posteriors rank well but shrink to the middle; the given labels set slope and offset of the log odds.
-    slope, offset = train((x @ weights + bias)[:, None], toxic.astype(float), ridge=0.01, rounds=60)
-    if slope[0] > 0:
-        weights, bias = weights * slope[0], bias * slope[0] + offset
-    return Model(names, weights, bias)
+    return Model(names, *train(x, posterior(votes, at, toxic[at]), ridge=0.1))
 
 
 def _scores(texts: pa.Array, model: Model) -> np.ndarray:
@@ -195,29 +206,35 @@ def _fold(c: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, folds: int, held: int, most: int) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, folds: int, held: int, most: int, most_bytes: int) -> Model:
     known = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("_label")).where(F.col("_id").isNotNull() & F.col("_label").isNotNull() & (_fold(F.col("_id"), folds) != held))
     known = known.groupBy("_id").agg(F.max("_label").alias("_label")).orderBy(F.xxhash64("_id"), "_id").limit(most)
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    found = rows.join(F.broadcast(known), "_id").select("_id", "_text", "_label").toArrow()
-    found = found.take(pa.array(np.argsort(found.column("_id").to_numpy(), kind="stable")))
-    return learn(found.column("_text"), found.column("_label").to_numpy().astype(bool))
-
-
-def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 3, held: int = 1, threshold: float = 0.7, most: int = 6000) -> DataFrame:
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    rows = rows.join(F.broadcast(known), "_id").groupBy("_id", "_label").agg(F.min("_text").alias("_text"))
+    rows = settle(rows.where(F.octet_length("_text") <= most_bytes // 16).withColumn("_hash", F.xxhash64("_id")), "labelled")
+    # At most `most` lengths, then texts of `most_bytes` at most, come to the driver.
+    sizes = rows.select("_hash", F.octet_length("_text").alias("n")).toArrow().sort_by("_hash")
+    fits = np.cumsum(sizes.column("n").to_numpy()) <= most_bytes
+    last = int(sizes.column("_hash").to_numpy()[fits].max(initial=-(2**63)))
+    found = rows.where(F.col("_hash") <= last).toArrow().sort_by([("_hash", "ascending"), ("_id", "ascending")])
+    forget(rows)
+    return learn(found.column("_text"), found.column("_label").to_numpy().astype(bool), found.column("_hash").to_numpy() % 2 == 0)
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 3, held: int = 1, threshold: float = 0.7, most: int = 6000, most_bytes: int = 96 << 20) -> DataFrame:
     """The rows of docs, all columns, whose score stays under the threshold; see toxicity(). Nothing is shuffled."""
-    model = fit(docs, labels, id_col, text_col, label_col, folds, held, most)
+    model = fit(docs, labels, id_col, text_col, label_col, folds, held, most, most_bytes)
     return docs.mapInArrow(lambda b: _clean(b, model, text_col, threshold), docs.schema)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 3, held: int = 1, threshold: float = 0.7, most: int = 6000) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 3, held: int = 1, threshold: float = 0.7, most: int = 6000, most_bytes: int = 96 << 20) -> DataFrame:
     """One row per row of docs: id, held_out, score, predicted.
 
-    Learns from at most `most` labelled documents (by a hash of the id) whose crc32(id as text) mod folds is not `held`; null labels and ids aren't
-    learnt from, a null text is empty. Every whole text is scored, empty ones too; score is P(label 1) and predicted is 1 from
+    Learns from at most `most` labelled documents (by a hash of the id) whose crc32(id as text) mod folds is not `held`, with texts of at most
+    `most_bytes` together, a sixteenth of that each; null labels and ids aren't learnt from, of rows that repeat an id one is, a null text is empty. Every whole text is scored, empty ones too; score is P(label 1) and predicted is 1 from
     `threshold` on. Language, source and id are no inputs of a score. A null id counts as empty text for held_out. An empty table gives no rows.
     """
-    model = fit(docs, labels, id_col, text_col, label_col, folds, held, most)
+    model = fit(docs, labels, id_col, text_col, label_col, folds, held, most, most_bytes)
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     scored = rows.mapInArrow(lambda b: _score(b, model), "_id long, score double")
     return scored.select(F.col("_id").alias(id_col), (_fold(F.col("_id"), folds) == held).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
