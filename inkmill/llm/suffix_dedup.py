@@ -9,6 +9,8 @@
 
 A window that a smaller document also holds has the same anchor in both, so it lies in contexts that meet in one shard:
 the result is that of comparing all windows, though only the edges of matches are ever compared byte by byte.
+An anchor that occurs over `hot` times in the corpus (a run of blanks, a common tag) would make one index too large: the windows around it are
+compared by 128 bits of hash instead, each distinct one once a block, in shards of their own.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .exchange import NO_ID, bits, grid, marked, recurring, reply, unbits
+from .exchange import NO_ID, Asked, Held, grid, marked, member, received, recurring, smaller, split, starts_of
 from .runindex import END, RunIndex
 
 _OUT = pa.schema([("_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
@@ -53,86 +55,87 @@ class _Bytes:
         context = ts.span_hashes(codes, lo, hi) ^ ts.mixed((pos - lo).astype(np.uint64))
         return ts.mixed(grams[pos]) & ~np.uint64(1), lo + base, hi + base, context, doc + a
 
-    def pairs(self, heard: list[bytes]) -> None:
-        """Keeps anchors that recur; the distinct (anchor, context) pairs with the block's smallest id for each."""
-        keys = marked(self.key, self.ids[self.doc])
-        hot = ((keys >> np.uint64(1)) << np.uint64(1))[unbits(heard)]
-        at = np.searchsorted(hot, self.key)
-        keep = (at < len(hot)) & (hot[np.minimum(at, len(hot) - 1)] == self.key) if len(hot) else np.zeros(len(self.key), bool)
+    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        return marked(self.key, self.ids[self.doc])
+
+    def pairs(self, told: list[bytes]) -> None:
+        """Keeps anchors that recur, as distinct (anchor, context) pairs with the block's smallest id for each, and the windows around hot ones."""
+        keys, _ = self.anchors()
+        keys = (keys >> np.uint64(1)) << np.uint64(1)
+        again, hot = received(told, "?", 2).T
+        around = member(self.key, keys[hot])
+        # All windows that hold a hot anchor; those that picked another one do no harm.
+        reach = np.arange(self.window)
+        at = (self.lo[around][:, None] + reach)[reach <= (self.hi - self.lo)[around][:, None] - self.window] if around.any() else np.zeros(0, np.int64)
+        self.at = np.unique(at)
+        self.windows = Held(*self._hashes(self.at), self.ids[np.searchsorted(self.offsets, self.at, "right") - 1])
+        keep = member(self.key, keys[again & ~hot])
         self.key, self.lo, self.hi, self.context, self.doc = (x[keep] for x in (self.key, self.lo, self.hi, self.context, self.doc))
-        self.owner = self.ids[self.doc]
-        order = np.lexsort((self.owner, self.context, self.key))
-        key, context = self.key[order], self.context[order]
-        first = np.ones(len(key), bool)
-        first[1:] = (key[1:] != key[:-1]) | (context[1:] != context[:-1])
-        self.number = np.empty(len(key), np.int64)
-        self.number[order] = np.cumsum(first) - 1
-        self.sample = order[first]
+        self.held = Held(self.key, self.context, self.ids[self.doc])
 
-    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return self.key[self.sample], self.context[self.sample], self.owner[self.sample].view(np.uint64)
+    def _hashes(self, at: np.ndarray, piece: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+        """Two hashes of the windows at sorted places."""
+        one, two = np.zeros((2, len(at)), np.uint64)
+        edges = [0, *(np.flatnonzero(np.diff(at // piece)) + 1).tolist(), len(at)]
+        for a, b in zip(edges, edges[1:], strict=False):
+            if b > a:
+                codes = ts.byte_codes()[self.data[at[a] : at[b - 1] + self.window]]
+                start = at[a:b] - at[a]
+                one[a:b] = ts.span_hashes(codes, start, start + self.window)
+                two[a:b] = ts.span_hashes(ts.mixed(codes), start, start + self.window)
+        return one, two
 
 
-def _anchor_keys(docs: pa.Table, window: int, gram: int) -> tuple:
-    b = _Bytes(docs, window, gram)
-    return 1, marked(b.key, b.ids[b.doc])
+def _anchor_keys(docs: pa.Table, window: int, gram: int) -> list[tuple]:
+    return [(1, *_Bytes(docs, window, gram).anchors())]
 
 
-def _contexts(docs: pa.Table, heard: dict, window: int, gram: int) -> tuple:
+def _contexts(docs: pa.Table, heard: dict, window: int, gram: int) -> list[tuple]:
     b = _Bytes(docs, window, gram)
     b.pairs(heard.get(1, []))
-    return 2, *b.distinct()
+    return [(2, b.held.one, b.held.two, b.held.owner), (4, b.windows.one, b.windows.two, b.windows.owner)]
 
 
-def _judge(parts: list[np.ndarray]) -> list[bytes]:
+def _judge(parts: list) -> list[np.ndarray]:
     """Two bits for each (anchor, context, id): a smaller id elsewhere; this is the context's first, and the anchor has others."""
     key, context, owner = (np.concatenate([p[i] for p in parts]) for i in range(3))
-    owner = owner.view(np.int64)
     order = np.lexsort((owner, context, key))
-    key, context = key[order], context[order]
-    first = np.ones(len(key), bool)
-    first[1:] = (key[1:] != key[:-1]) | (context[1:] != context[:-1])
+    first = starts_of(key[order], context[order])
     least = owner[order][np.flatnonzero(first)][np.cumsum(first) - 1]
-    anchor = np.ones(len(key), bool)
-    anchor[1:] = key[1:] != key[:-1]
-    group = np.cumsum(anchor) - 1
+    group = np.cumsum(starts_of(key[order])) - 1
     several = np.bincount(group, first)[group] > 1
     found = np.empty((len(key), 2), bool)
     found[order, 0] = least < owner[order]
     found[order, 1] = several & (least == owner[order])
-    return bits([x.ravel() for x in np.split(found, np.cumsum([p.shape[1] for p in parts])[:-1])])
+    return split(found, parts)
 
 
-def _send(docs: pa.Table, heard: dict, window: int, gram: int) -> tuple:
-    """The bytes of the contexts that are wanted, as 8-byte columns after the id and the length."""
+def _send(docs: pa.Table, heard: dict, window: int, gram: int) -> list[tuple]:
+    """The bytes of the contexts that are wanted, after the id and the length."""
     b = _Bytes(docs, window, gram)
     b.pairs(heard.get(1, []))
-    told = unbits(heard.get(2, [])).reshape(-1, 2)
-    at = b.sample[told[:, 1]]
+    at = b.held.sample[received(heard.get(2, []), "?", 2)[:, 1]]
     lo, size = b.lo[at], b.hi[at] - b.lo[at]
-    width = -(-(2 * window - gram) // 8) * 8
+    width = 2 * window - gram
     reach = np.arange(width)
     text = np.where(reach < size[:, None], b.data[np.minimum(lo[:, None] + reach, len(b.data) - 1)], 0) if len(at) else np.zeros((0, width))
-    columns = np.ascontiguousarray(text.astype(np.uint8)).view(np.uint64).reshape(len(at), width // 8)
-    return 3, b.key[at], b.owner[at].view(np.uint64), size.astype(np.uint64), *(np.ascontiguousarray(c) for c in columns.T)
+    return [(3, b.key[at], b.ids[b.doc[at]], size, np.ascontiguousarray(text.astype(np.uint8)).view(f"V{width}").ravel())]
 
 
-def _long_matches(parts: list[np.ndarray], window: int, most: int = 4096) -> list[bytes]:
-    """For each context, 8 bytes: bit j is set where the window from j on also stands in a context of a smaller id.
+def _long_matches(parts: list, window: int, most: int = 4096) -> list[np.ndarray]:
+    """For each context: bit j is set where the window from j on also stands in a context of a smaller id.
 
     Contexts that share a window share an anchor, so an index holds whole anchors, of about `most` contexts.
     """
-    key = np.concatenate([p[0] for p in parts])
-    owner, size = (np.concatenate([p[i] for p in parts]).view(np.int64) for i in (1, 2))
-    text = np.concatenate([np.ascontiguousarray(p[3:].T) for p in parts])
-    order = np.argsort(key)
-    anchor = np.append(True, key[order][1:] != key[order][:-1])
-    first = np.flatnonzero(anchor)
+    key, owner, size, text = (np.concatenate([p[i] for p in parts]) for i in range(4))
+    text = text.view(np.uint8).reshape(len(key), -1)
+    order = np.argsort(key, kind="stable")
+    first = np.flatnonzero(starts_of(key[order]))
     cuts = first[np.append(True, np.diff(first // most) > 0)]
     mask = np.zeros(len(key), np.uint64)
     for rows in np.split(order, cuts[1:]):
-        mask[rows] = _index_matches(text[rows].view(np.uint8), owner[rows], size[rows], window)
-    return [m.tobytes() for m in np.split(mask, np.cumsum([p.shape[1] for p in parts])[:-1])]
+        mask[rows] = _index_matches(text[rows], owner[rows], size[rows], window)
+    return split(mask, parts)
 
 
 def _index_matches(text: np.ndarray, owner: np.ndarray, size: np.ndarray, window: int) -> np.ndarray:
@@ -162,18 +165,24 @@ def _index_matches(text: np.ndarray, owner: np.ndarray, size: np.ndarray, window
 def _result(docs: pa.Table, heard: dict, window: int, gram: int) -> pa.Table:
     b = _Bytes(docs, window, gram)
     b.pairs(heard.get(1, []))
-    told = unbits(heard.get(2, [])).reshape(-1, 2)
-    masks = np.zeros(len(b.sample), np.uint64)
-    masks[told[:, 1]] = np.frombuffer(b"".join(heard.get(3, [])), np.uint64)
+    told = received(heard.get(2, []), "?", 2)
+    masks = np.zeros(len(b.held.sample), np.uint64)
+    masks[told[:, 1]] = received(heard.get(3, []), "u8")
     cover = np.zeros(len(b.data) + 1, np.int32)
-    whole = (told[b.number, 0] | (b.owner > b.owner[b.sample[b.number]])) & (b.hi - b.lo >= window)
-    np.add.at(cover, b.lo[whole], 1)
-    np.add.at(cover, b.hi[whole], -1)
-    part = np.flatnonzero(~whole & (masks[b.number] > 0) & (b.owner == b.owner[b.sample[b.number]]))
-    row, j = np.nonzero((masks[b.number[part]][:, None] >> np.arange(window - gram + 1, dtype=np.uint64)) & np.uint64(1))
+
+    def add(lo: np.ndarray, hi: np.ndarray) -> None:
+        np.add.at(cover, lo, 1)
+        np.add.at(cover, hi, -1)
+
+    number, later = b.held.number, b.held.later
+    whole = (told[number, 0] | later) & (b.hi - b.lo >= window)
+    add(b.lo[whole], b.hi[whole])
+    part = np.flatnonzero(~whole & ~later & (masks[number] > 0))
+    row, j = np.nonzero((masks[number[part]][:, None] >> np.arange(window - gram + 1, dtype=np.uint64)) & np.uint64(1))
     at = b.lo[part[row]] + j
-    np.add.at(cover, at, 1)
-    np.add.at(cover, at + window, -1)
+    add(at, at + window)
+    at = b.at[b.windows.later | received(heard.get(4, []), "?")[b.windows.number]]
+    add(at, at + window)
     gone = np.cumsum(cover[:-1]) > 0
     kept = b.data[~gone].tobytes()
     removed = np.concatenate([[0], np.cumsum(gone)])[b.offsets]
@@ -187,19 +196,21 @@ def _result(docs: pa.Table, heard: dict, window: int, gram: int) -> pa.Table:
     return pa.table([pa.array(b.ids), pa.array(np.diff(b.offsets)), pa.array(np.diff(removed)), pa.array(np.diff(spans)), pa.array(sha)], schema=_OUT)
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, gram: int = 20) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, gram: int = 20, hot: int = 20_000, **size: int) -> DataFrame:
     """One row per row of docs: id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 (of the bytes that stay).
 
     A byte of a text in UTF-8 goes if a string of `window` bytes that covers it also starts in a document with a smaller id; strings
     are judged on the input and never cross documents. A null text is empty. Null ids count as one document with the
-    largest id; rows that repeat an id are one document, too, and take nothing from each other. Other columns aren't read.
+    largest id; rows that repeat an id are one document, too, and take nothing from each other. Other columns aren't read. size: see grid().
     """
     if not 0 <= window - gram < 64:
         raise ValueError("a context may hold at most 64 windows")
-    g = grid(docs, id_col, text_col)
-    heard = reply(g.ask(lambda d: _anchor_keys(d, window, gram)), 1, recurring)
-    heard = heard.unionAll(reply(g.ask(lambda d, h: _contexts(d, h, window, gram), heard), 3, _judge))
-    columns = 3 + -(-(2 * window - gram) // 8)
-    heard = heard.unionAll(reply(g.ask(lambda d, h: _send(d, h, window, gram), heard), columns, lambda parts: _long_matches(parts, window)))
+    g = grid(docs, id_col, text_col, **size)
+    first = {1: Asked(("u8", "u4"), lambda parts: recurring(parts, hot), "?", 2)}
+    second = {2: Asked(("u8", "u8", "i8"), _judge, "?", 2), 4: Asked(("u8", "u8", "i8"), smaller, "?")}
+    third = {3: Asked(("u8", "i8", "i8", f"V{2 * window - gram}"), lambda parts: _long_matches(parts, window), "u8")}
+    heard = g.reply(g.ask(lambda d: _anchor_keys(d, window, gram)), first)
+    heard = heard.unionAll(g.reply(g.ask(lambda d, h: _contexts(d, h, window, gram), heard), second))
+    heard = heard.unionAll(g.reply(g.ask(lambda d, h: _send(d, h, window, gram), heard), third))
     out = g.tell(lambda d, h: _result(d, h, window, gram), heard, "_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", _OUT)
     return out.select(F.nullif("_id", F.lit(int(NO_ID))).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256")

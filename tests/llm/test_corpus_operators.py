@@ -90,10 +90,10 @@ def brute_words(rows_, size):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize(("window", "gram"), [(3, 2), (13, 5)])
-def test_substring(odd, docs, window, gram):
+@pytest.mark.parametrize(("window", "gram", "size"), [(3, 2, {}), (13, 5, {}), (13, 5, {"hot": 1}), (13, 5, {"hot": 3, "block_bytes": 20_000, "fan": 3})])
+def test_substring(odd, docs, window, gram, size):
     for df in (odd, docs):
-        assert rows(substring_dedup(df, window=window, gram=gram), "doc_id", "n_words", "n_removed", "kept_sha256") == brute_words(pairs(df), window)
+        assert rows(substring_dedup(df, window=window, gram=gram, **size), "doc_id", "n_words", "n_removed", "kept_sha256") == brute_words(pairs(df), window)
 
 
 def brute_bytes(rows_, size):
@@ -111,11 +111,11 @@ def brute_bytes(rows_, size):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize(("window", "gram"), [(7, 3), (50, 20)])
-def test_suffix(odd, docs, window, gram):
+@pytest.mark.parametrize(("window", "gram", "size"), [(7, 3, {}), (50, 20, {}), (50, 20, {"hot": 1}), (50, 20, {"hot": 3, "block_bytes": 10_000, "fan": 3})])
+def test_suffix(odd, docs, window, gram, size):
     for df in (odd, docs.limit(60)):
         df = df.select("doc_id", "text")
-        assert rows(suffix_dedup(df, window=window, gram=gram), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_bytes(pairs(df), window)
+        assert rows(suffix_dedup(df, window=window, gram=gram, **size), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_bytes(pairs(df), window)
 
 
 def test_run_index_matches():
