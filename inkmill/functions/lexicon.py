@@ -54,6 +54,12 @@ BAD_START = (
 DEFINITION = r"(?i)^.{3,80}\s+(adalah|merupakan|yaitu|ialah|didefinisikan\s+sebagai|dapat\s+diartikan\s+sebagai|dikenal\s+sebagai)\s+.{10,}"
 CHARACTERISTIC = r"(?i)^.{3,60}\s+(memiliki|berfungsi|digunakan\s+untuk|bertujuan\s+untuk|terdiri\s+(atas|dari)|meliputi|mencakup|menghasilkan)\s+.{10,}"
 PROCESS = r"(?i)^.{3,60}\s+(bekerja\s+dengan|dilakukan\s+dengan|diterapkan\s+dengan|dijalankan\s+dengan|diproses\s+(melalui|dengan))\s+.{10,}"
+# The three patterns by kind, each with words of which a match holds one at least.
+KINDS = {
+    "definition": (DEFINITION, ("adalah", "merupakan", "yaitu", "ialah", "didefinisikan", "dapat", "dikenal")),
+    "function": (CHARACTERISTIC, ("memiliki", "berfungsi", "digunakan", "bertujuan", "terdiri", "meliputi", "mencakup", "menghasilkan")),
+    "process": (PROCESS, ("bekerja", "dilakukan", "diterapkan", "dijalankan", "diproses")),
+}
 FORMULA = r"[A-Za-z]\s*\([a-zA-Z,\s]+\)\s*[=→←]|[=→←≤≥≠]\s*\d|\b\d+\s*[+\-*/]\s*\d+"
 EMOJI_TWICE = r"[\x{1F300}-\x{1FAFF}].*[\x{1F300}-\x{1FAFF}]"
 # Word forms that count as the same in questions, in this order.

@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 FLAGS = "(?U)(?d)"
+# The characters of Unicode's white space, spelled out, which is faster than asking for each one's property.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+SPACES = "[\\t-\\r \\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]+"
+# Letters that equal ASCII ones without regard to case, though lower() doesn't make them so.
+FOLDED = "[ıİſ\u212a]"
 
 
 def let(value: Column, body) -> Column:
@@ -13,6 +18,11 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def once(value: Column) -> Column:
+    """value as a generator's only row: columns and filters above read it, none of them computes it again."""
+    return F.explode_outer(F.array(value))
+
+
 def matches(c: Column, pattern: str) -> Column:
     return c.rlike(FLAGS + pattern)
 
@@ -22,12 +32,12 @@ def replaced(c: Column, pattern: str, by: str) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return replaced(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def words(c: Column) -> Column:
     """Tokens between white space; an empty array for a blank text."""
-    return F.filter(F.split(c, FLAGS + r"\s+"), lambda w: w != "")
+    return F.filter(F.split(c, SPACES), lambda w: w != "")
 
 
 def n_words(c: Column) -> Column:
@@ -41,7 +51,7 @@ def lines(c: Column) -> Column:
 
 def sentences(c: Column) -> Column:
     """Stripped pieces between white space that follows a full stop, an exclamation or a question mark."""
-    return F.filter(F.transform(F.split(c, FLAGS + r"(?<=[.!?])\s+"), strip), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, f"(?<=[.!?]){SPACES}"), strip), lambda x: x != "")
 
 
 def last_char(c: Column) -> Column:
@@ -52,14 +62,22 @@ def first_char(c: Column) -> Column:
     return F.substring(c, 1, 1)
 
 
+def may_hold(low: Column, *words: str) -> Column:
+    """Whether a lower-cased text may match, without regard to case, a pattern that needs one of these words: a cheap look before it."""
+    out = low.rlike(FOLDED)
+    for w in words:
+        out = low.contains(w) | out
+    return out
+
+
 def found(c: Column, keywords: list[str]) -> Column:
     """How many of the distinct keywords the text contains."""
-    return F.size(F.filter(F.array(*map(F.lit, keywords)), lambda k: c.contains(k)))
+    return let(c, lambda bound: F.size(F.filter(listed(keywords), lambda k: bound.contains(k))))
 
 
 def share(items: Column, test) -> Column:
     """Share of the array's items that pass; null for an empty array."""
-    return F.when(F.size(items) > 0, F.size(F.filter(items, test)) / F.size(items))
+    return let(items, lambda bound: F.when(F.size(bound) > 0, F.size(F.filter(bound, test)) / F.size(bound)))
 
 
 def first_words(c: Column, n: int) -> Column:

@@ -9,6 +9,12 @@ from inkmill.functions import lexicon as lx
 from inkmill.functions import text as tx
 
 
+def is_kind(sentence: Column, kind: str) -> Column:
+    """Whether a sentence defines, describes or tells how; only those that hold one of the pattern's words are matched."""
+    pattern, needed = lx.KINDS[kind]
+    return tx.may_hold(F.lower(sentence), *needed) & tx.matches(sentence, pattern)
+
+
 def score(sentence: Column) -> Column:
     """Q1."""
     return tx.let(tx.words(sentence), lambda tokens: _points(sentence, tokens))
@@ -16,9 +22,10 @@ def score(sentence: Column) -> Column:
 
 def _points(sentence: Column, tokens: Column) -> Column:
     n = F.size(tokens)
-    out = tx.matches(sentence, lx.BAD_START) | tx.matches(sentence, r"^\d+") | tx.matches(sentence, lx.FORMULA) | tx.matches(sentence, lx.EMOJI_TWICE)
+    formula = sentence.rlike("[=→←≤≥≠+*/-]") & tx.matches(sentence, lx.FORMULA)
+    out = tx.matches(sentence, lx.BAD_START) | tx.matches(sentence, r"^\d+") | formula | tx.matches(sentence, lx.EMOJI_TWICE)
     kind = (
-        F.when(tx.matches(sentence, lx.DEFINITION), 10.0).when(tx.matches(sentence, lx.CHARACTERISTIC), 5.0).when(tx.matches(sentence, lx.PROCESS), 3.0)
+        F.when(is_kind(sentence, "definition"), 10.0).when(is_kind(sentence, "function"), 5.0).when(is_kind(sentence, "process"), 3.0)
         .when(F.arrays_overlap(tokens, tx.listed(lx.BARE_DEFINERS)), 1.5).otherwise(0.0)
     )
     length = F.when((n >= 10) & (n <= 35), 2.0).when((n >= 6) & (n < 10), 0.5).when(n > 45, -1.5).otherwise(0.0)
@@ -54,7 +61,7 @@ def definition(sentence: Column) -> Column:
     for name in lx.DEFINERS:
         pattern = rf"(?i){tx.FLAGS}^(.{{3,80}})\s+({name})\s+(.{{10,}})"
         part = [tx.strip(F.regexp_extract(sentence, pattern, i)) for i in (1, 2, 3)]
-        found.append(F.when(sentence.rlike(pattern), F.struct(part[0].alias("subj"), part[1].alias("pred"), part[2].alias("ket"))))
+        found.append(F.when(tx.may_hold(F.lower(sentence), name.split(r"\s")[0].split(" ")[0]) & sentence.rlike(pattern), F.struct(part[0].alias("subj"), part[1].alias("pred"), part[2].alias("ket"))))
     return F.coalesce(*found)
 
 

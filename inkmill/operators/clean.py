@@ -26,8 +26,11 @@ def prepared(text: Column) -> Column:
 
 
 def normalised(text: Column, python: bool = True) -> Column:
-    """NFKC, in Python only where a text holds anything beyond ASCII. Spark has no function for it."""
-    return F.when(text.rlike(r"[^\x00-\x7F]"), F.pandas_udf(_nfkc, "string")(text)).otherwise(text) if python else text
+    """NFKC, for which Spark has no function. Only texts beyond ASCII go to Python; for others a null does."""
+    if not python:
+        return text
+    beyond = F.octet_length(text) != F.length(text)
+    return F.coalesce(F.pandas_udf(_nfkc, "string")(F.when(beyond, text)), text)
 
 
 def _gap(before: Column, line: Column) -> Column:

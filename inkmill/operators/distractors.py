@@ -43,7 +43,7 @@ def by_overlap(correct: Column, text: Column) -> Column:
 
 
 def _by_overlap(low: Column, own: Column, text: Column) -> Column:
-    rows = F.filter(tx.sentences(text), lambda s: (F.lower(s) != low) & ~F.lower(s).contains(F.substring(low, 1, 30)))
+    rows = tx.let(F.substring(low, 1, 30), lambda start: F.filter(tx.sentences(text), lambda s: tx.let(F.lower(s), lambda x: (x != low) & ~x.contains(start))))
     cut = F.filter(F.transform(rows, lambda s: cut_words(s, 35, 25)), is_clean_option)
     ranked = F.transform(cut, lambda s, i: F.struct((-F.size(F.array_intersect(tx.words(F.lower(s)), own))).alias("o"), (-tx.n_words(s)).alias("n"), i.alias("i"), s.alias("s")))
     return F.transform(F.array_sort(ranked), lambda x: x["s"])

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,7 +13,8 @@ from inkmill.functions import text as tx
 
 
 def is_toc_line(c: Column) -> Column:
-    return tx.matches(c, lx.TOC_LINE)
+    """Every form ends in a number; only such lines are looked at in full, as the forms go back over a line's blanks."""
+    return tx.matches(tx.last_char(tx.strip(c)), r"[\divxIVX]") & tx.matches(c, lx.TOC_LINE)
 
 
 def is_header(c: Column) -> Column:
@@ -18,7 +22,7 @@ def is_header(c: Column) -> Column:
 
 
 def is_publication(c: Column) -> Column:
-    return tx.matches(F.lower(c), lx.PUBLICATION)
+    return tx.let(F.lower(c), lambda low: tx.may_hold(low, "isbn", "cipta", "copyright", "©", "diterbitkan", "penerbit", "cetakan", "reserved") & tx.matches(low, lx.PUBLICATION))
 
 
 def is_noise_unit(text: Column) -> Column:
@@ -38,8 +42,7 @@ def _noise(text: Column, low: Column) -> Column:
 
 def is_toc_block(text: Column) -> Column:
     """the first line is a structural header, or over two fifths of the lines look like contents."""
-    rows = tx.lines(text)
-    return F.coalesce(is_header(F.get(rows, F.lit(0))), F.lit(False)) | F.coalesce(tx.share(rows, is_toc_line) > lx.BLOCK_TOC, F.lit(False))
+    return tx.let(tx.lines(text), lambda rows: F.coalesce(is_header(F.get(rows, F.lit(0))), F.lit(False)) | F.coalesce(tx.share(rows, is_toc_line) > lx.BLOCK_TOC, F.lit(False)))
 
 
 def is_educational(text: Column) -> Column:
@@ -49,11 +52,14 @@ def is_educational(text: Column) -> Column:
 
 
 def _educational(text: Column, bare: Column, low: Column) -> Column:
-    tokens = tx.words(low)
     task = tx.listed(lx.TASK_WORDS)
+    # The text holds no task word in most cases, so its words are rarely looked at.
+    few = F.size(F.filter(task, lambda w: low.contains(w))) == 0
+    asks = tx.let(tx.words(low), lambda tokens: F.coalesce(F.array_contains(task, F.get(tokens, F.lit(0))), F.lit(False)) | (F.size(F.array_intersect(tokens, task)) >= 3))
     bad = (
-        (bare == "") | F.coalesce(F.array_contains(task, F.get(tokens, F.lit(0))), F.lit(False)) | (F.size(F.array_intersect(tokens, task)) >= 3)
-        | is_header(bare) | tx.matches(bare, lx.COLOPHON) | is_publication(low) | is_toc_line(bare) | is_toc_block(text) | tx.matches(text, lx.TOC_INLINE)
+        (bare == "") | (~few & asks)
+        | is_header(bare) | tx.matches(bare, lx.COLOPHON) | is_publication(low) | is_toc_line(bare) | is_toc_block(text)
+        | (tx.may_hold(low, "pengantar", "daftar") & tx.matches(text, lx.TOC_INLINE))
     )
     return ~bad
 
@@ -66,10 +72,9 @@ def is_content_unit(text: Column) -> Column:
 
 def is_noise_line(line: Column) -> Column:
     """F6, for stripped lines that aren't empty."""
-    out = F.lit(False)
-    for pattern in lx.LINE_NOISE:
-        out = out | tx.matches(line, pattern)
-    return out
+    bare, titled = lx.LINE_NOISE[:2], lx.LINE_NOISE[2:]
+    some = lambda patterns: reduce(or_, [tx.matches(line, p) for p in patterns])
+    return some(bare) | (tx.may_hold(F.lower(line), "bahan") & some(titled))
 
 
 def keep_sentences(text: Column, least: int = lx.KEEP_WORDS) -> Column:
@@ -92,8 +97,7 @@ def is_clean_option(text: Column) -> Column:
 
 
 def _clean_bare(bare: Column) -> Column:
-    n = tx.n_words(bare)
-    return (n >= 3) & (n <= 35) & ~is_toc_line(bare) & ~tx.matches(bare, lx.COLOPHON) & ~is_publication(bare) & (tx.found(F.lower(bare), lx.STRUCTURAL) == 0)
+    return tx.n_words(bare).between(3, 35) & ~is_toc_line(bare) & ~tx.matches(bare, lx.COLOPHON) & ~is_publication(bare) & (tx.found(F.lower(bare), lx.STRUCTURAL) == 0)
 
 
 def cut_words(text: Column, over: int, to: int) -> Column:

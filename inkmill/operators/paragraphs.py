@@ -35,20 +35,22 @@ def _info(text: Column, rows: Column) -> Column:
 
 def merge_short(paras: Column, least: int = lx.MERGE_WORDS) -> Column:
     """A paragraph takes the next ones in until it has `least` words; a short last one joins the one before."""
-    empty = F.struct(F.array().cast("array<string>").alias("out"), F.lit(None).cast("string").alias("cur"))
+    empty = F.struct(F.array().cast("array<string>").alias("out"), F.lit(None).cast("string").alias("cur"), F.lit(0).alias("n"))
 
     def step(state: Column, para: Column) -> Column:
-        cur = state["cur"]
-        short = tx.n_words(cur) < least
+        cur, n = state["cur"], state["n"]
+        short = cur.isNotNull() & (n < least)
         out = F.when(cur.isNull() | short, state["out"]).otherwise(F.array_append(state["out"], cur))
-        return F.struct(out.alias("out"), F.when(cur.isNull() | ~short, para).otherwise(F.concat_ws(" ", cur, para)).alias("cur"))
+        return F.struct(out.alias("out"), F.when(short, F.concat_ws(" ", cur, para["text"])).otherwise(para["text"]).alias("cur"), F.when(short, n + para["n"]).otherwise(para["n"]).alias("n"))
 
     def finish(state: Column) -> Column:
         out, cur = state["out"], state["cur"]
         joined = F.array_append(F.slice(out, F.lit(1), F.size(out) - 1), F.concat_ws(" ", F.element_at(out, -1), cur))
-        return F.when(cur.isNull(), out).when((F.size(out) > 0) & (tx.n_words(cur) < least), joined).otherwise(F.array_append(out, cur))
+        return F.when(cur.isNull(), out).when((F.size(out) > 0) & (state["n"] < least), joined).otherwise(F.array_append(out, cur))
 
-    return F.aggregate(paras, empty, step, finish)
+    # Each paragraph's words are counted once; those of joined ones add up.
+    counted = F.transform(paras, lambda p: F.struct(p.alias("text"), tx.n_words(p).alias("n")))
+    return F.aggregate(counted, empty, step, finish)
 
 
 def drop_task_blocks(rows: DataFrame, doc: str, order: str, text: str) -> DataFrame:
@@ -66,11 +68,13 @@ def educational_paragraphs(paras: Column) -> Column:
     empty = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("block"))
 
     def step(state: Column, p: Column) -> Column:
-        good = is_educational(p)
-        skipped = good & state["block"] & (tx.matches(p, r"^[•\-*]") | tx.matches(p, r"^\d\."))
-        return F.struct(F.when(good & ~skipped, F.array_append(state["out"], p)).otherwise(state["out"]).alias("out"), (~good | skipped).alias("block"))
+        gone = ~p["good"] | (state["block"] & p["item"])
+        return F.struct(F.when(gone, state["out"]).otherwise(F.array_append(state["out"], p["text"])).alias("out"), gone.alias("block"))
 
-    return F.aggregate(paras, empty, step, lambda s: s["out"])
+    # Each paragraph is judged once, before the fold.
+    item = lambda p: tx.matches(p, r"^[•\-*]") | tx.matches(p, r"^\d\.")
+    judged = F.transform(paras, lambda p: F.struct(p.alias("text"), is_educational(p).alias("good"), item(p).alias("item")))
+    return F.aggregate(judged, empty, step, lambda s: s["out"])
 
 
 def heading_sentence(text: Column) -> Column:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from inkmill.functions import lexicon as lx
 from inkmill.functions import text as tx
 
+from .answers import is_kind
+
 
 def question_key(q: Column) -> Column:
     """X20."""
@@ -27,7 +29,10 @@ def tidy_question(q: Column) -> Column:
 
 
 def template_kind(answer: Column) -> Column:
-    return F.when(tx.matches(answer, lx.DEFINITION), "definition").when(tx.matches(answer, lx.CHARACTERISTIC), "function").when(tx.matches(answer, lx.PROCESS), "process").otherwise("general")
+    out = F.lit("general")
+    for kind in ("process", "function", "definition"):
+        out = F.when(is_kind(answer, kind), kind).otherwise(out)
+    return out
 
 
 def prompt(answer: Column, context: Column, call: Column) -> Column:

@@ -47,7 +47,7 @@ def trace(staged: DataFrame, chunked: DataFrame) -> DataFrame:
 def questions(chunked: DataFrame, most: int = 8, provider=None) -> DataFrame:
     """Accepted questions: doc_id, chunk_id, question, context, pseudo_answer, provider."""
     provider = provider or quiz.TemplateQuestions()
-    rows = chunked.select("doc_id", "chunk_id", F.col("text").alias("context")).withColumn("pseudo_answer", answers.answer_gate(F.col("context"))).where("pseudo_answer IS NOT NULL")
+    rows = chunked.select("doc_id", "chunk_id", F.col("text").alias("context"), tx.once(answers.answer_gate(F.col("text"))).alias("pseudo_answer")).where("pseudo_answer IS NOT NULL")
     asked = rows.withColumn("question", quiz.tidy_question(provider.column(F.col("pseudo_answer"), F.col("context"))))
     keyed = asked.withColumns({"answer_key": quiz.question_key(F.substring("pseudo_answer", 1, 60)), "question_key": quiz.question_key(F.col("question"))})
     kept = quiz.accept_questions(keyed, "doc_id", "chunk_id", most)
@@ -59,6 +59,6 @@ def choices(asked: DataFrame, seed: str = "0") -> DataFrame:
     own = Window.partitionBy("doc_id")
     pool = F.collect_set(F.when(filters.is_clean_option(F.col("pseudo_answer")), tx.strip(F.col("pseudo_answer")))).over(own)
     rows = asked.withColumns({"_pool": pool, "_answer": tx.strip(F.col("pseudo_answer"))})
-    rows = rows.withColumn("_found", distractors.misleading(F.col("_answer"), F.col("context")))
+    rows = rows.select("*", tx.once(distractors.misleading(F.col("_answer"), F.col("context"))).alias("_found"))
     key = F.concat_ws("|", F.lit(seed), F.col("doc_id").cast("string"), F.col("chunk_id").cast("string"))
     return rows.withColumn("_o", distractors.options(F.col("_answer"), F.col("_found"), F.col("_pool"), key)).select("doc_id", "chunk_id", "question", "_o.options", "_o.correct_idx")

@@ -17,7 +17,15 @@ FLAGSHIP = "pipeline_chunks"
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id")
+
+
+def spread(rows: DataFrame, key: str, least: int = 32 << 20) -> DataFrame:
+    """rows dealt over all cores where their files are so small that a core has under `least` bytes: these hold fewer row groups than there are
+    cores, and the text expressions cost far more than the shuffle. Larger inputs stay as they are read."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return rows.repartition(cores, key) if size < least * cores else rows
 
 
 def clean_blocks(spark, sf_dir):
@@ -71,7 +79,7 @@ def answer_scores(spark, sf_dir):
 
 
 def _answers(spark, sf_dir):
-    return _docs(spark, sf_dir).withColumn("answer", answers.pick(F.col("text")))
+    return _docs(spark, sf_dir).select("doc_id", "text", tx.once(answers.pick(F.col("text"))).alias("answer"))
 
 
 def pick_answer(spark, sf_dir):
@@ -86,7 +94,8 @@ def focused_context(spark, sf_dir):
 def distractors_by_overlap(spark, sf_dir):
     rows = _answers(spark, sf_dir).where("answer IS NOT NULL")
     found = F.slice(F.array_distinct(distractors.by_overlap(F.col("answer"), F.col("text"))), 1, 3)
-    return rows.select("doc_id", F.posexplode(found).alias("rank", "distractor"))
+    # The outer form: else the optimiser computes the list in a filter, too.
+    return rows.select("doc_id", F.posexplode_outer(found).alias("rank", "distractor")).where("distractor IS NOT NULL")
 
 
 def acronym_candidates(spark, sf_dir):
