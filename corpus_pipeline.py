@@ -39,9 +39,11 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     Documents that the schedule doesn't reach go; rows that repeat a doc_id share the largest number of passes.
     """
-    times = mix(docs).groupBy(F.col("doc_id").alias("_doc")).agg(F.max("copies").cast("int").alias("_times")).where("_times > 0")
-    chosen = docs.join(times, docs["doc_id"].eqNullSafe(times["_doc"]))
-    return chosen.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    times = mix(docs).groupBy(F.col("doc_id").alias("id")).agg(F.max("copies").cast("int").alias("times")).where("times > 0")
+    # The document stands in one column, so that no name of its own can clash.
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    chosen = whole.join(times, whole["doc"]["doc_id"].eqNullSafe(times["id"])).select("doc", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return chosen.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
