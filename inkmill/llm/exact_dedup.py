@@ -53,7 +53,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hot = hot or max(32, docs.count() // (8 * n))
     text = NORMALISE[normalise](F.coalesce(F.col(text_col), F.lit(""))) if isinstance(normalise, str) else normalise
     rows = docs.select(F.col(id_col).alias("_id"), text.alias("_text"), (F.lit(0) if carry is None else carry).alias("_rest")).withColumns(
-        {"text_sha256": F.sha2(F.col("_text"), 256), "_head": F.substring("_text", 1, 16), "_tie": F.lit(0)}
+        {"text_sha256": F.sha2(F.col("_text"), 256), "_head": F.substring("_text", 1, 64), "_tie": F.lit(0)}
     )
     many = F.broadcast(rows.groupBy("text_sha256").count().where(F.col("count") > hot).select("text_sha256", F.ceil(F.col("count") / hot).cast("int").alias("_salts")))
     rare = _runs(rows.join(many, "text_sha256", "left_anti"), keep)
@@ -62,7 +62,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     better = F.max if keep == "largest" else F.min
     heads = salted.where("_last").select("text_sha256", "_text", "_salt", "_run", "_leader", "_copies")
     whole = heads.groupBy("text_sha256", "_text").agg(better("_leader").alias("keep_id"), F.sum("_copies").alias("group_size"))
-    found = F.broadcast(heads.join(F.broadcast(whole), ["text_sha256", "_text"]).select("text_sha256", "_salt", "_run", "keep_id", "group_size"))
+    # Texts are compared in full by a shuffle of one row for each salted run; what is broadcast holds no text.
+    found = F.broadcast(heads.join(whole, ["text_sha256", "_text"]).select("text_sha256", "_salt", "_run", "keep_id", "group_size"))
     merged = salted.join(found, ["text_sha256", "_salt", "_run"])
 
     out = ["_id", "keep_id", "group_size", "_first", "text_sha256", "_rest"]
