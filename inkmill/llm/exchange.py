@@ -103,7 +103,9 @@ class Grid:
         parts = self.route(sent, asked).groupBy("_shard").applyInArrow(lambda t: shard(t), ", ".join(f"{n} long" for n in names))
         whole = parts.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names])
         data = F.unhex(F.concat(*[F.lpad(F.hex(n), 16, "0") for n in names]))
-        return whole.select(F.explode(F.sequence(F.lit(0), F.lit(self.blocks - 1))).alias("_block"), F.lit(-1).alias("_shard"), F.lit(0).alias("_round"), data.alias("_data"))
+        told = whole.select(F.explode(F.sequence(F.lit(0), F.lit(self.blocks - 1))).alias("_block"), F.lit(-1).alias("_shard"), F.lit(0).alias("_round"), data.alias("_data"))
+        # Dealt like the other replies: else their union would deal all of them again.
+        return told.repartition(partitions(sent.sparkSession), "_block")
 
 
 def grid(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4 << 20, fan: int = 4096) -> Grid:
