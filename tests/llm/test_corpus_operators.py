@@ -58,7 +58,8 @@ def rows(df, *names):
 
 def test_oracles(spark, data):
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{data}/documents.parquet'")
+    for name in ("documents", "embeddings"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{data}/{name}.parquet'")
     for name, sql in queries.ORACLE.items():
         want = con.sql(sql)
         assert rows(queries.QUERIES[name](spark, data), *want.columns) == sorted(want.fetchall(), key=str)
