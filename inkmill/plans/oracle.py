@@ -132,7 +132,26 @@ def slang(x: str) -> str:
 
 DOCS = "(SELECT doc_id, coalesce(text, '') AS text FROM documents)"
 
+def kind(x: str) -> str:
+    return f"CASE WHEN {has(x, lx.DEFINITION)} THEN 'definition' WHEN {has(x, lx.CHARACTERISTIC)} THEN 'function' WHEN {has(x, lx.PROCESS)} THEN 'process' ELSE 'general' END"
+
+
+TEMPLATES = "MAP {" + ", ".join(f"{q(k)}: {items(v)}" for k, v in lx.TEMPLATES.items()) + "}"
+
 SQL: dict[str, str] = {
+    "semantic_chunks": rf"""WITH RECURSIVE n AS (SELECT conv_id, turn, {strip('text')} AS body FROM conversations WHERE {n_words('text')} >= 10), b AS (SELECT conv_id, turn, {sentences('body')} AS ss FROM n WHERE {n_words('body')} > 120),
+        s0 AS (SELECT conv_id, turn, unnest(range(len(ss))) AS i, unnest(ss) AS sentence FROM b), s AS (SELECT *, {n_words('sentence')} AS n FROM s0),
+        r AS (SELECT conv_id, turn, i, n AS acc, 0 AS g FROM s WHERE i = 0
+              UNION ALL SELECT s.conv_id, s.turn, s.i, CASE WHEN r.acc + s.n > 100 THEN s.n ELSE r.acc + s.n END, CASE WHEN r.acc + s.n > 100 THEN r.g + 1 ELSE r.g END FROM r JOIN s ON s.conv_id = r.conv_id AND s.turn = r.turn AND s.i = r.i + 1),
+        p AS (SELECT conv_id, turn, g, string_agg(sentence, ' ' ORDER BY i) AS text FROM r JOIN s USING (conv_id, turn, i) GROUP BY conv_id, turn, g UNION ALL SELECT conv_id, turn, 0, body FROM n WHERE {n_words('body')} <= 120)
+        SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, g) - 1)::INT AS chunk_id, text, ({n_words('text')} * 13 // 10)::INT AS n_tokens, (length(text) - length(translate(text, '.?!', '')))::INT AS n_sents, {n_words('text')}::INT AS word_count, 'semantic' AS method
+        FROM p WHERE {n_words('text')} >= 10""",
+    "question_prompts": f"""WITH k AS (SELECT id, correct, text, {kind('correct')} AS kind FROM {values('fx_defs')}), t AS (SELECT *, {TEMPLATES}[kind] AS ts FROM k)
+        SELECT id, kind, replace(replace(replace(ts[id % len(ts) + 1], '{{answer}}', chr(1)), '{{context}}', {strip('text')}), chr(1), {strip('correct')}) AS prompt FROM t""",
+    "llm_json_parse": rf"""WITH b AS (SELECT id, {strip(r"regexp_replace(regexp_replace(raw, '```(json)?', '', 'g'), '(?s)<think>.*?</think>', '', 'g')")} AS b FROM {values('fx_llm')}),
+        j AS (SELECT id, CASE WHEN json_valid(b) THEN b::JSON END AS j FROM b),
+        d AS (SELECT *, list_filter(list_transform(list_filter(json_extract(j, '$.distractors[*]'), lambda x: json_type(x) = 'VARCHAR'), lambda x: {strip("json_extract_string(x, '$')")}), lambda x: x <> '') AS d FROM j)
+        SELECT id, nullif({strip("json_extract_string(j, '$.answer')")}, '') AS answer, CASE WHEN len(d) > 0 THEN d[1:3] END AS distractors FROM d""",
     "clean_blocks": f"WITH {clean_cte()} SELECT doc_id, cleaned FROM c",
     "paragraph_classes": f"""WITH {paras_cte()}, l AS (SELECT *, {lines('text')} AS ls FROM p),
         n AS (SELECT *, len(list_filter(ls, lambda l: {has('l', lx.BULLET)})) AS b, len(list_filter(ls, lambda l: {has('l', lx.NUMBER)})) AS m, len(list_filter(ls, lambda l: {has('l', lx.COMPLETE)})) AS f, greatest(len(ls), 1) AS t FROM l)
