@@ -175,8 +175,6 @@ SQL: dict[str, str] = {
     "pick_answer": f"""WITH {sents_cte()}, x AS (SELECT *, {score('sentence')} AS v FROM s)
         SELECT d.doc_id, coalesce(arg_min(sentence, n::BIGINT * 1000000 + sent_no) FILTER (v >= 10), arg_max(sentence, v * 1000000 - sent_no) FILTER (v >= 3), arg_max(sentence, v * 1000000 - sent_no) FILTER (v > 0)) AS answer
         FROM documents d LEFT JOIN x ON x.doc_id = d.doc_id GROUP BY d.doc_id""",
-    "acronym_candidates": r"""WITH a AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '\b([A-Z][A-Z/]{1,5})\b', 1) AS a FROM documents WHERE NOT regexp_matches(coalesce(text, ''), '[^\x00-\x7F]')),
-        f AS (SELECT doc_id, unnest(range(len(a))) AS i, unnest(a) AS abbr FROM a) SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY min(i)) - 1)::INT AS pos, abbr FROM f GROUP BY doc_id, abbr""",
     "sentence_chunks": f"""WITH RECURSIVE {sents_cte()}, t AS (SELECT doc_id, list(n * 13 // 10 ORDER BY sent_no) AS tk, list(sentence ORDER BY sent_no) AS ss, list(n ORDER BY sent_no) AS ns FROM s GROUP BY doc_id),
         u AS (SELECT *, list_transform(range(0, len(tk) + 1), lambda i: coalesce(list_sum(tk[1:i]), 0)) AS ps FROM t),
         r AS (SELECT doc_id, 0 AS cid, 0::BIGINT AS a, greatest(1, len(list_filter(range(1, len(tk) + 1), lambda e: ps[e + 1] <= 300))) AS e FROM u

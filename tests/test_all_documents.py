@@ -20,6 +20,6 @@ def test_acronyms_of_all_documents(spark, data, tmp_path, given):
         spark.createDataFrame(ODD, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     folder = data if given else str(tmp_path)
     texts = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
-    got = sorted((r["doc_id"], r["pos"], r["abbr"]) for r in registry.acronym_candidates_all(spark, folder).collect())
+    got = sorted((r["doc_id"], r["pos"], r["abbr"]) for r in registry.acronym_candidates(spark, folder).collect())
     assert got == brute(texts)
     assert {i for i, _, _ in got} & {i for i, t in texts if not (t or "").isascii()}
