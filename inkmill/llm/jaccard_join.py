@@ -15,11 +15,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .common import settle
+from .common import forget, settle
 from .components import components
 
 _SLOTS, _PARTS = 1 << 20, 16
@@ -110,11 +111,10 @@ def _alike(a: np.ndarray, b: np.ndarray, share: int) -> bool:
 def _verified(batches: Iterator[pa.RecordBatch], size: int, share: int, rank) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in ts.slices(batch, "ta"):
-            ids = part.column("a").to_pylist(), part.column("b").to_pylist()
-            first = {i: k for k, i in reversed(list(enumerate(ids[0])))}  # one copy of a text that stands in many pairs
-            own = dict(zip(first, _ordered(part.column("ta").take(pa.array(list(first.values()), pa.int64())), size, rank.value), strict=True))
+            texts = pc.dictionary_encode(part.column("ta"), null_encoding="encode")  # one copy of a text that stands in many pairs
+            own = _ordered(texts.dictionary, size, rank.value)
             other = _ordered(part.column("tb"), size, rank.value)
-            good = [_alike(own[a], s, share) for a, s in zip(ids[0], other, strict=True)]
+            good = [_alike(own[k], s, share) for k, s in zip(texts.indices.to_pylist(), other, strict=True)]
             yield pa.RecordBatch.from_arrays([part.column("a").filter(pa.array(good, pa.bool_())), part.column("b").filter(pa.array(good, pa.bool_()))], names=["a", "b"])
 
 
@@ -132,7 +132,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Two documents link when 100 * intersection >= share * union of their sets of `size`-word shingles (words are runs of bytes that
     aren't white space, A-Z in lower case; fewer words are one shingle). A text without words, or null, has the empty set
     and links with nothing. A row with a null id links with nothing and has a null component. Rows that repeat an id share
-    its component. An empty table gives an empty result. Other columns aren't read.
+    its component, and each of their texts can link it. An empty table gives an empty result. Other columns aren't read.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))

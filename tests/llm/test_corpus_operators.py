@@ -155,6 +155,18 @@ def test_jaccard(spark, size, share):
     assert rows(jaccard_components(df, size=size, share=share), "doc_id", "n_shingles", "component_id") == sorted(brute_links(texts, size, share), key=str)
 
 
+def test_jaccard_odd(spark, odd):
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_components(odd).collect()}
+    # 5 stands twice; of 8 and 9, equal long texts, the smaller id; null ids and texts link with nothing.
+    assert got == {(1, 2, 1), (2, 0, 2), (None, 3, None), (4, 0, 4), (5, 2, 5), (7, 1, 7), (8, 2, 8), (9, 2, 8), (10, 1, 10)}
+
+
+def test_jaccard_repeated_id(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    df = spark.createDataFrame([(1, a), (1, b), (1, None), (2, b + " end"), (3, a + " end"), (4, "a0 a1 a2 a3 a9")], "doc_id long, text string")
+    assert {(r["doc_id"], r["component_id"]) for r in jaccard_components(df).collect()} == {(1, 1), (2, 1), (3, 1), (4, 4)}
+
+
 def test_mixing(odd, docs):
     for df in (odd, docs):
         got = mix(df).collect()
