@@ -144,6 +144,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     order = F.shiftleft(F.col("pos").cast("long"), 40).bitwiseOR(F.shiftrightunsigned(F.xxhash64("id"), 24))
     heads = entries.withColumn("o", order).groupBy("key").agg(F.min_by("id", "o").alias("id"), F.min_by("n", "o").alias("n"), F.min_by("pos", "o").alias("pos"), F.count(F.lit(1)).alias("_many")).where("_many > 1").drop("_many")
     lists = settle(entries.alias("x").join(heads.alias("y"), F.col("x.key") == F.col("y.key")).select("x.*", F.struct("y.id", "y.n", "y.pos").alias("y")), "lists")
+    sizes = settle(found.where("key IS NULL").select("id", "n"), "sizes")
+    forget(found)
     texts = rows.where("_id IS NOT NULL")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -155,11 +157,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = verified(lists.alias("x").where(_may_link(share)).select(F.col("x.id").alias("x"), F.col("y.id").alias("y")))
     near = components(links, "a", "b")
     marked = settle(lists.select("key", "id", "n", "pos").join(near, "id", "left").select("key", "id", "n", "pos", F.coalesce("component", "id").alias("c")), "marked")
+    forget(lists)
     open_ = marked.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key")
     open_ = marked.join(open_, "key")
     more = open_.alias("x").join(open_.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & _may_link(share))
     more = more.select(F.col("x.id").alias("x"), F.col("y.id").alias("y")).distinct()
     links = links.unionAll(verified(more))
+    forget(marked)
     near = components(links, "a", "b")
-    sizes = found.where("key IS NULL").select("id", "n")
     return sizes.join(near, "id", "left").select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
