@@ -76,6 +76,47 @@ TEMPLATES = {
     "general": ["generate question: answer: {answer} context: {context}", "generate question type: why answer: {answer} context: {context}", "generate question type: how answer: {answer} context: {context}", "generate question type: when answer: {answer} context: {context}"],
 }
 FALLBACK_OPTIONS = ["Semua jawaban di atas benar", "Tidak ada jawaban yang tepat", "Informasi tidak disebutkan"]
+# Prompts to a model for the answer and for distractors, the stand-in for an empty question, and how long replies may be.
+ANSWER_PROMPT = """Kamu adalah asisten akademik yang membaca dokumen dan menjawab pertanyaan secara tepat.
+
+Konteks dari dokumen:
+\"\"\"{context}\"\"\"
+
+Pertanyaan: {question}
+Petunjuk topik: {anchor}
+
+Tugas:
+Berikan jawaban yang BENAR dan FAKTUAL berdasarkan konteks di atas.
+Syarat:
+- Maksimal 20 kata
+- Berdasarkan isi konteks, bukan pengetahuan umum
+- Berbentuk frasa atau kalimat lengkap
+- Tidak mengulang kata-kata dari kalimat pertanyaan secara verbatim
+
+Balas HANYA dengan JSON (tanpa penjelasan, tanpa markdown):
+{"answer": "jawaban di sini"}"""
+DISTRACTOR_PROMPT = """Kamu adalah pembuat soal pilihan ganda Bahasa Indonesia yang ahli.
+
+Konteks dari dokumen:
+\"\"\"{context}\"\"\"
+
+Pertanyaan: {question}
+Jawaban benar: {correct}
+
+Tugas:
+Buat 3 pilihan jawaban yang SALAH tapi MENGECOH.
+Syarat setiap distractor:
+- Salah secara faktual berdasarkan konteks
+- Terdengar masuk akal dan relevan dengan topik
+- Panjang mirip jawaban benar (±5 kata)
+- Menggunakan kosakata dari konteks yang sama
+- JANGAN gunakan kata "bukan", "tidak", atau negasi eksplisit lainnya
+- Ketiga distractor harus berbeda satu sama lain
+
+Balas HANYA dengan JSON (tanpa penjelasan, tanpa markdown):
+{"distractors": ["distractor1", "distractor2", "distractor3"]}"""
+NO_QUESTION = "[tidak dapat di-generate]"
+QUESTION_TOKENS, ANSWER_TOKENS, DISTRACTOR_TOKENS = 64, 150, 250
 # Sentence frames and limits.
 HEADING_FRAME = "Berikut adalah penjelasan tentang "
 BULLETS_AFTER_PREFIX, BULLETS_ALONE = " Hal-hal tersebut meliputi: ", "Terdapat beberapa hal, yaitu: "

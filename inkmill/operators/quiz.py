@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,9 +35,21 @@ def template_kind(answer: Column) -> Column:
 
 def prompt(answer: Column, context: Column, call: Column) -> Column:
     """The template of the answer's kind whose turn it is at call number `call` (from 0), filled in."""
+    chosen = _templates(answer)
+    return _filled(F.get(chosen, F.pmod(call, F.size(chosen)).cast("int")), answer, context)
+
+
+def prompts(answer: Column, context: Column) -> Column:
+    """The prompts of all templates of the answer's kind, in order of their turns."""
+    return F.transform(_templates(answer), lambda text: _filled(text, answer, context))
+
+
+def _templates(answer: Column) -> Column:
     table = F.create_map(*[x for k, v in lx.TEMPLATES.items() for x in (F.lit(k), tx.listed(v))])
-    chosen = table[template_kind(answer)]
-    text = F.get(chosen, F.pmod(call, F.size(chosen)).cast("int"))
+    return table[template_kind(answer)]
+
+
+def _filled(text: Column, answer: Column, context: Column) -> Column:
     before, after = F.split_part(text, F.lit("{answer}"), F.lit(1)), F.split_part(text, F.lit("{answer}"), F.lit(2))
     return F.concat(before, tx.strip(answer), F.replace(after, F.lit("{context}"), tx.strip(context)))
 
@@ -50,19 +60,23 @@ def parse_json(raw: Column, schema: str) -> Column:
     return F.from_json(tx.strip(F.regexp_replace(bare, r"(?s)<think>.*?</think>", "")), schema)
 
 
+def _as_text(x: Column) -> Column:
+    """A JSON string's text; null for any other value."""
+    return F.when(F.schema_of_variant(x) == "STRING", tx.strip(F.try_variant_get(x, "$", "string")))
+
+
 def llm_answer(raw: Column) -> Column:
-    return F.nullif(tx.strip(parse_json(raw, "answer string")["answer"]), F.lit(""))
+    return F.nullif(_as_text(parse_json(raw, "answer variant")["answer"]), F.lit(""))
 
 
 def llm_distractors(raw: Column) -> Column:
     """The first three strings of the list, without blank ones; null if none is left. Numbers don't count as strings."""
     items = parse_json(raw, "distractors array<variant>")["distractors"]
-    texts = F.transform(F.filter(items, lambda x: F.schema_of_variant(x) == "STRING"), lambda x: tx.strip(F.try_variant_get(x, "$", "string")))
-    kept = F.filter(texts, lambda x: x != "")
+    kept = F.filter(F.transform(items, _as_text), lambda x: x != "")
     return F.when(F.size(kept) > 0, F.slice(kept, 1, 3))
 
 
-def accept_questions(candidates: DataFrame, doc: str, order: str, most: int = 8, ask=None) -> DataFrame:
+def accept_questions(candidates: DataFrame, doc: str, order: str, most: int = 8) -> DataFrame:
     """Q5: walks a document's candidates (answer_key, question, question_key) in order until `most` are accepted.
 
     An answer's key is taken only once its question is accepted, so this is no pair of duplicate removals; it runs per document.
@@ -120,12 +134,7 @@ class TemplateQuestions:
         return F.when(d.isNotNull(), F.concat(F.lit("Apa yang dimaksud dengan "), d["subj"], F.lit("?"))).otherwise(F.concat(F.lit("Apa yang dijelaskan oleh pernyataan berikut: "), tx.first_words(answer, 8), F.lit("?")))
 
 
-def model_questions(rows: DataFrame, prompts: str, load, name: str) -> DataFrame:
-    """M1 with a model: load() gives a callable from a list of prompts to a list of questions, once per worker and partition."""
-
-    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = load()
-        for rows_ in batches:
-            yield rows_.assign(question=model(rows_[prompts].tolist()), provider=name)
-
-    return rows.mapInPandas(ask, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", question string, provider string")
+def shortfall(asked: DataFrame, docs: DataFrame, most: int = 8) -> DataFrame:
+    """Per document how many questions it has, and whether that is fewer than asked for. Documents without questions count, too."""
+    n = asked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_questions"))
+    return docs.select("doc_id").join(n, "doc_id", "left").select("doc_id", F.coalesce("n_questions", F.lit(0)).alias("n_questions"), (F.coalesce("n_questions", F.lit(0)) < most).alias("short"))

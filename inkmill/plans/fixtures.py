@@ -37,6 +37,10 @@ TABLES: dict[str, tuple[str, list[tuple]]] = {
         (2, "Data disimpan di dalam berkas.", "Data disimpan di dalam berkas. Berkas disimpan di dalam folder. Folder disimpan di cakram."),
     ]),
     "fx_llm": ("id int, raw string", [(1, '```json\n{"answer": " Otak komputer "}\n```'), (2, '<think>x</think>{"distractors": ["a", 5, " b ", "c", "d"]}'), (3, "[1, 2]"), (4, "oops"), (5, '{"answer": ""}'), (6, None)]),
+    "fx_replies": ("id int, reply_a string, reply_b string", [
+        (1, '{"answer": " Otak "}', '{"distractors": [" a ", "b", "c", "d"]}'), (2, '```json\n{"answer": "x"}\n```', '{"distractors": ["satu"]}'), (3, '{"answer": "x"}', '{"distractors": ["a", "b"]}'),
+        (4, None, '{"distractors": ["a"]}'), (5, '{"answer": "x"}', '{"distractors": []}'), (6, '{"answer": 5}', '{"distractors": ["a"]}'), (7, '{"answer": "x"}', "oops"),
+    ]),
 }
 
 

@@ -19,6 +19,11 @@ def strip(x: str) -> str:
     return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
 
 
+def bare(x: str) -> str:
+    """A reply without code fences and thinking."""
+    return strip(rf"regexp_replace(regexp_replace({x}, '```(json)?', '', 'g'), '(?s)<think>.*?</think>', '', 'g')")
+
+
 def words(x: str) -> str:
     return rf"(CASE WHEN {strip(x)} = '' THEN []::VARCHAR[] ELSE string_split_regex({strip(x)}, '\s+') END)"
 
@@ -148,7 +153,7 @@ SQL: dict[str, str] = {
         FROM p WHERE {n_words('text')} >= 10""",
     "question_prompts": f"""WITH k AS (SELECT id, correct, text, {kind('correct')} AS kind FROM {values('fx_defs')}), t AS (SELECT *, {TEMPLATES}[kind] AS ts FROM k)
         SELECT id, kind, replace(replace(replace(ts[id % len(ts) + 1], '{{answer}}', chr(1)), '{{context}}', {strip('text')}), chr(1), {strip('correct')}) AS prompt FROM t""",
-    "llm_json_parse": rf"""WITH b AS (SELECT id, {strip(r"regexp_replace(regexp_replace(raw, '```(json)?', '', 'g'), '(?s)<think>.*?</think>', '', 'g')")} AS b FROM {values('fx_llm')}),
+    "llm_json_parse": rf"""WITH b AS (SELECT id, {bare('raw')} AS b FROM {values('fx_llm')}),
         j AS (SELECT id, CASE WHEN json_valid(b) THEN b::JSON END AS j FROM b),
         d AS (SELECT *, list_filter(list_transform(list_filter(json_extract(j, '$.distractors[*]'), lambda x: json_type(x) = 'VARCHAR'), lambda x: {strip("json_extract_string(x, '$')")}), lambda x: x <> '') AS d FROM j)
         SELECT id, nullif({strip("json_extract_string(j, '$.answer')")}, '') AS answer, CASE WHEN len(d) > 0 THEN d[1:3] END AS distractors FROM d""",
@@ -210,5 +215,14 @@ SQL: dict[str, str] = {
         b AS (SELECT id, answer, list_concat(list_transform(list_sort(list_transform(pool, lambda p: md5(id::VARCHAR || '|' || p) || p)), lambda s: s[33:]), {items(lx.FALLBACK_OPTIONS)})[1:3] AS d FROM a),
         o AS (SELECT id, answer, list_transform(list_sort(list_transform(list_append(d, answer), lambda x: md5(id::VARCHAR || '|' || x) || x)), lambda s: s[33:]) AS o FROM b)
         SELECT id, o[1] AS option_a, o[2] AS option_b, o[3] AS option_c, o[4] AS option_d, (list_position(o, answer) - 1)::INT AS correct_idx FROM o""",
+    "choices_retried": f"""WITH a AS (SELECT id, answer, list_filter(pool, lambda p: lower(p) <> lower(answer)) AS pool FROM {values('fx_options')}),
+        b AS (SELECT id, answer, list_concat(list_transform(list_sort(list_transform(pool, lambda p: md5('1|' || id::VARCHAR || '|' || p) || p)), lambda s: s[33:]), {items(lx.FALLBACK_OPTIONS)})[1:3] AS d FROM a),
+        o AS (SELECT id, answer, list_transform(list_sort(list_transform(list_append(d, answer), lambda x: md5('1|' || id::VARCHAR || '|' || x) || x)), lambda s: s[33:]) AS o FROM b)
+        SELECT id, o AS options, (list_position(o, answer) - 1)::INT AS correct_idx FROM o""",
+    "model_replies": rf"""WITH r AS (SELECT id, {bare('reply_a')} AS a, {bare('reply_b')} AS b FROM {values('fx_replies')}), b AS (SELECT id, CASE WHEN json_valid(a) THEN a::JSON END AS a, CASE WHEN json_valid(b) THEN b::JSON END AS b FROM r),
+        d AS (SELECT id, {strip("json_extract_string(a, '$.answer')")} AS answer, json_type(a, '$.answer') AS kind,
+              list_filter(list_transform(list_filter(json_extract(b, '$.distractors[*]'), lambda x: json_type(x) = 'VARCHAR'), lambda x: {strip("json_extract_string(x, '$')")}), lambda x: x <> '')[1:3] AS d FROM b),
+        m AS (SELECT id, coalesce(kind = 'VARCHAR' AND answer <> '' AND len(d) > 0, false) AS good, answer, d FROM d)
+        SELECT id, CASE WHEN good THEN answer END AS answer, CASE WHEN good THEN list_concat(d, {items(lx.FALLBACK_OPTIONS)}[len(d) + 1:3]) END AS three FROM m""",
     "language_statistics": """SELECT d.lang, count(*) AS documents, sum(d.n_chars)::BIGINT AS chars, count(l.toxic) AS labelled, coalesce(sum(l.quality), 0)::BIGINT AS good FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY d.lang""",
 }

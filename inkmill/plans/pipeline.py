@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkmill.functions import lexicon as lx
 from inkmill.functions import text as tx
-from inkmill.operators import answers, chunking, clean, distractors, filters, paragraphs, quiz, rewrite
+from inkmill.operators import answers, chunking, clean, distractors, filters, paragraphs, providers, quiz, rewrite
 
 
 def rebuilt(cleaned: Column) -> Column:
@@ -45,20 +46,39 @@ def trace(staged: DataFrame, chunked: DataFrame) -> DataFrame:
 
 
 def questions(chunked: DataFrame, most: int = 8, provider=None) -> DataFrame:
-    """Accepted questions: doc_id, chunk_id, question, context, pseudo_answer, provider."""
+    """Accepted questions: doc_id, chunk_id, question, context, pseudo_answer, provider. A provider with load() is asked (providers.py), else its column is taken."""
     provider = provider or quiz.TemplateQuestions()
     rows = chunked.select("doc_id", "chunk_id", F.col("text").alias("context"), tx.once(answers.answer_gate(F.col("text"))).alias("pseudo_answer")).where("pseudo_answer IS NOT NULL")
-    asked = rows.withColumn("question", quiz.tidy_question(provider.column(F.col("pseudo_answer"), F.col("context"))))
-    keyed = asked.withColumns({"answer_key": quiz.question_key(F.substring("pseudo_answer", 1, 60)), "question_key": quiz.question_key(F.col("question"))})
-    kept = quiz.accept_questions(keyed, "doc_id", "chunk_id", most)
+    answer, context = F.col("pseudo_answer"), F.col("context")
+    rows = rows.withColumn("answer_key", quiz.question_key(F.substring("pseudo_answer", 1, 60)))
+    if hasattr(provider, "load"):
+        asked = rows.withColumn("prompts", quiz.prompts(answer, answers.focused(context, answer)))
+        kept = rows.join(providers.ask_in_order(asked, "doc_id", "chunk_id", provider, most), ["doc_id", "chunk_id"])
+    else:
+        asked = rows.withColumn("question", quiz.tidy_question(provider.column(answer, context)))
+        kept = quiz.accept_questions(asked.withColumn("question_key", quiz.question_key(F.col("question"))), "doc_id", "chunk_id", most)
     return kept.select("doc_id", "chunk_id", "question", "context", "pseudo_answer", F.lit(provider.name).alias("provider"))
 
 
-def choices(asked: DataFrame, seed: str = "0") -> DataFrame:
-    """Four options each, by rules: misleading sentences of the chunk, then other answers of the document's quiz (at most 20), then fixed ones."""
+def choices(asked: DataFrame, seed: str = "0", provider=None) -> DataFrame:
+    """Four options each (Q6); another seed deals them anew.
+
+    A provider is asked for the answer, then for distractors. Without one, or where a reply is of no use, rules choose: misleading sentences of
+    the chunk, then other answers of the document's quiz (at most 20), then fixed ones.
+    """
     own = Window.partitionBy("doc_id")
-    pool = F.collect_set(F.when(filters.is_clean_option(F.col("pseudo_answer")), tx.strip(F.col("pseudo_answer")))).over(own)
-    rows = asked.withColumns({"_pool": pool, "_answer": tx.strip(F.col("pseudo_answer"))})
-    rows = rows.select("*", tx.once(distractors.misleading(F.col("_answer"), F.col("context"))).alias("_found"))
+    anchor, question, context = F.col("_anchor"), F.col("question"), F.col("context")
+    rows = asked.withColumn("_anchor", tx.strip(F.col("pseudo_answer")))
+    model = F.lit(None).cast("struct<answer:string,three:array<string>>")
+    if provider:
+        rows = providers.replies(rows.withColumn("_prompt", providers.answer_prompt(question, anchor, context)), "_prompt", "_first", provider, lx.ANSWER_TOKENS)
+        rows = rows.withColumn("_prompt", providers.distractor_prompt(question, quiz.llm_answer(F.col("_first")), context))
+        rows = providers.replies(rows, "_prompt", "_second", provider, lx.DISTRACTOR_TOKENS)
+        model = providers.modelled(F.col("_first"), F.col("_second"))
+    pool = F.collect_set(F.when(filters.is_clean_option(F.col("pseudo_answer")), anchor)).over(own)
+    rows = rows.withColumns({"_pool": pool, "_model": model})
+    rows = rows.select("*", tx.once(F.coalesce(F.col("_model.three"), distractors.misleading(anchor, context))).alias("_found"))
     key = F.concat_ws("|", F.lit(seed), F.col("doc_id").cast("string"), F.col("chunk_id").cast("string"))
-    return rows.withColumn("_o", distractors.options(F.col("_answer"), F.col("_found"), F.col("_pool"), key)).select("doc_id", "chunk_id", "question", "_o.options", "_o.correct_idx")
+    rows = rows.withColumn("_o", distractors.options(F.coalesce(F.col("_model.answer"), anchor), F.col("_found"), F.col("_pool"), key))
+    by = F.when(F.col("_model").isNotNull(), provider.name if provider else None).otherwise("rules")
+    return rows.select("doc_id", "chunk_id", "question", "_o.options", "_o.correct_idx", by.alias("chosen_by"))

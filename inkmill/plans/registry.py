@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from inkmill.functions import lexicon as lx
 from inkmill.functions import text as tx
-from inkmill.operators import answers, chunking, clean, distractors, filters, paragraphs, quiz, rewrite
+from inkmill.operators import answers, chunking, clean, distractors, filters, paragraphs, providers, quiz, rewrite
 
 from . import fixtures, oracle, pipeline
 
@@ -201,13 +201,34 @@ def quiz_choices(spark, sf_dir):
     return pipeline.choices(quiz_questions(spark, sf_dir))
 
 
+def quiz_by_model(spark, sf_dir):
+    """Questions, answers and distractors by a provider; the stand-in that repeats its prompt, as no model is at hand."""
+    model = providers.EchoModel()
+    return pipeline.choices(pipeline.questions(pipeline_chunks(spark, sf_dir), provider=model), seed="1", provider=model)
+
+
+def quiz_shortfall(spark, sf_dir):
+    return quiz.shortfall(quiz_questions(spark, sf_dir), spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def choices_retried(spark, sf_dir):
+    """choices_shuffled with another seed."""
+    rows = fixtures.frame(spark, "fx_options")
+    o = distractors.options(F.col("answer"), F.array().cast("array<string>"), F.col("pool"), F.concat(F.lit("1|"), F.col("id").cast("string")))
+    return rows.withColumn("o", o).select("id", "o.options", "o.correct_idx")
+
+
+def model_replies(spark, sf_dir):
+    return fixtures.frame(spark, "fx_replies").withColumn("m", providers.modelled(F.col("reply_a"), F.col("reply_b"))).select("id", "m.answer", "m.three")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         pipeline_chunks, clean_blocks, paragraph_classes, noise_documents, block_filters, task_block_filter, merge_short_paragraphs, sentence_split, sentence_filter, answer_scores, pick_answer,
         focused_context, distractors_by_overlap, acronym_candidates, sentence_chunks, split_large, semantic_breaks, semantic_chunks, section_context, slang_normalise, list_reconstruction,
         punctuation_restore, acronym_expand, definition_distractors, question_normalise, question_prompts, llm_json_parse, quiz_score, quiz_recap, choices_shuffled, language_statistics,
-        stage_trace, quiz_questions, quiz_choices,
+        stage_trace, quiz_questions, quiz_choices, quiz_by_model, quiz_shortfall, choices_retried, model_replies,
     )
 }
 ORACLE: dict[str, str] = oracle.SQL
