@@ -43,13 +43,16 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...], limit: float) ->
 
 
 def _prefixed(rows: DataFrame, keys: list[str], chunk: str, what: str, order: list[str], name: str) -> DataFrame:
-    """Adds the sum of `what` over the rows of the same keys before this one, by chunk and then by order."""
+    """Adds the sum of `what` over the rows of the same keys before this one, by chunk and then by order.
+
+    The sums of chunks grow with the input, so they are merged, never broadcast; the windows have dealt and sorted both sides so already.
+    """
     parts = rows.groupBy(*keys, chunk).agg(F.sum(what).alias("_part"))
     lead = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("_part", F.coalesce(F.sum("_part").over(lead), F.lit(0)))
     own = Window.partitionBy(*keys, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     local = rows.withColumn(name, F.coalesce(F.sum(what).over(own), F.lit(0)))
-    return local.join(parts, [*keys, chunk]).withColumn(name, F.col(name) + F.col("_part")).drop("_part")
+    return local.join(parts.hint("merge"), [*keys, chunk]).withColumn(name, F.col(name) + F.col("_part")).drop("_part")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), limit: int = 3, block: int = 256, chunk_rows: int = 2_000, seed: int = 7) -> DataFrame:
@@ -123,7 +126,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         .withColumn("_group", F.explode(F.sequence(F.lit(0).cast("long"), groups)))
         .withColumn("_block", F.explode(F.sequence(F.col("_group") * 2048, F.least(F.col("_group") * 2048 + 2047, F.col("_blocks")))))
         .select(*src, "_block", F.col("_group").alias("_chunk"), F.least(F.lit(block).cast("long"), F.col("source_size") - F.col("_block") * block).alias("_words"))
-        .join(filled, [*src, "_block"], "left")
+        .join(filled.hint("merge"), [*src, "_block"], "left")
         .na.fill(0, ["_times", "_clip"])
         .withColumn("_used", F.col("_times") * F.col("_words") + F.least("_clip", "_words"))
     )
@@ -139,8 +142,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return (
         placed.withColumn("_stop", F.col("_pos") + F.col("size"))
         .withColumns({"_b0": F.floor(F.col("_pos") / F.lit(block)), "_b1": F.floor(F.col("_stop") / F.lit(block))})
-        .join(first, [*src, "_b0"], "left")
-        .join(past, [*src, "_b1"], "left")
+        .join(first.hint("merge"), [*src, "_b0"], "left")
+        .join(past.hint("merge"), [*src, "_b1"], "left")
         .join(sources.select(*src, "source_size", "target"), src)
         .withColumns({"taken": F.when(F.col("size") > 0, to_past - to_first).otherwise(F.lit(0)).cast("long"), "copies": F.when(F.col("size") > 0, F.col("_t0") + (F.col("_c0") > F.col("_pos") % F.lit(block)).cast("int")).otherwise(F.lit(0)).cast("long")})
         .select(F.col("_id").alias(id_col), F.when(~F.col("_none"), F.col("_source")).alias(source_col), "size", "source_size", "target", "taken", "copies")
