@@ -44,6 +44,16 @@ def n_words(c: Column) -> Column:
     return F.coalesce(F.size(words(c)), F.lit(0))
 
 
+def _first(c: Column, n: int) -> Column:
+    """The first n words and perhaps the rest: the text isn't split beyond the blank before the first word and these n."""
+    return F.filter(F.split(c, SPACES, n + 2), lambda w: w != "")
+
+
+def at_most(c: Column, n: int) -> Column:
+    """Whether the text has n words at most, as n_words(c) <= n."""
+    return F.coalesce(F.size(_first(c, n)), F.lit(0)) <= n
+
+
 def lines(c: Column) -> Column:
     """Stripped lines that aren't empty."""
     return F.filter(F.transform(F.split(c, "\n"), strip), lambda x: x != "")
@@ -64,7 +74,7 @@ def first_char(c: Column) -> Column:
 
 def may_hold(low: Column, *words: str) -> Column:
     """Whether a lower-cased text may match, without regard to case, a pattern that needs one of these words: a cheap look before it."""
-    out = low.rlike(FOLDED)
+    out = (F.octet_length(low) != F.length(low)) & low.rlike(FOLDED)
     for w in words:
         out = low.contains(w) | out
     return out
@@ -81,7 +91,7 @@ def share(items: Column, test) -> Column:
 
 
 def first_words(c: Column, n: int) -> Column:
-    return F.array_join(F.slice(words(c), 1, n), " ")
+    return F.array_join(F.slice(_first(c, n), 1, n), " ")
 
 
 def listed(values: list[str]) -> Column:

@@ -9,10 +9,10 @@ from inkmill.functions import lexicon as lx
 from inkmill.functions import text as tx
 
 
-def is_kind(sentence: Column, kind: str) -> Column:
-    """Whether a sentence defines, describes or tells how; only those that hold one of the pattern's words are matched."""
+def is_kind(sentence: Column, kind: str, low: Column | None = None) -> Column:
+    """Whether a sentence defines, describes or tells how; only those that hold one of the pattern's words are matched. low: the sentence in lower case."""
     pattern, needed = lx.KINDS[kind]
-    return tx.may_hold(F.lower(sentence), *needed) & tx.matches(sentence, pattern)
+    return tx.may_hold(F.lower(sentence) if low is None else low, *needed) & tx.matches(sentence, pattern)
 
 
 def score(sentence: Column) -> Column:
@@ -24,10 +24,10 @@ def _points(sentence: Column, tokens: Column) -> Column:
     n = F.size(tokens)
     formula = sentence.rlike("[=→←≤≥≠+*/-]") & tx.matches(sentence, lx.FORMULA)
     out = tx.matches(sentence, lx.BAD_START) | tx.matches(sentence, r"^\d+") | formula | tx.matches(sentence, lx.EMOJI_TWICE)
-    kind = (
-        F.when(is_kind(sentence, "definition"), 10.0).when(is_kind(sentence, "function"), 5.0).when(is_kind(sentence, "process"), 3.0)
+    kind = tx.let(F.lower(sentence), lambda low: (
+        F.when(is_kind(sentence, "definition", low), 10.0).when(is_kind(sentence, "function", low), 5.0).when(is_kind(sentence, "process", low), 3.0)
         .when(F.arrays_overlap(tokens, tx.listed(lx.BARE_DEFINERS)), 1.5).otherwise(0.0)
-    )
+    ))
     length = F.when((n >= 10) & (n <= 35), 2.0).when((n >= 6) & (n < 10), 0.5).when(n > 45, -1.5).otherwise(0.0)
     bracket = F.when(sentence.rlike(r"\([A-Z]{2,}\)"), 1.5).otherwise(0.0)
     end = F.when(tx.last_char(tx.strip(sentence)).isin(".", "!", "?"), 0.5).otherwise(0.0)
@@ -35,7 +35,7 @@ def _points(sentence: Column, tokens: Column) -> Column:
 
 
 def scored(text: Column) -> Column:
-    return F.transform(tx.sentences(text), lambda s: F.struct(s.alias("sentence"), score(s).alias("score"), tx.n_words(s).alias("n")))
+    return F.transform(tx.sentences(text), lambda s: tx.let(tx.words(s), lambda tokens: F.struct(s.alias("sentence"), _points(s, tokens).alias("score"), F.size(tokens).alias("n"))))
 
 
 def pick(text: Column) -> Column:

@@ -109,7 +109,7 @@ def section_context(chunks: DataFrame, doc: str, most: int = lx.PREFIX_WORDS) ->
     """Chunks that look like headings name the section of those after them; counts stay those of the bare chunk."""
     c = F.col("text")
     by = Window.partitionBy(doc).orderBy("chunk_id").rowsBetween(Window.unboundedPreceding, 0)
-    marked = chunks.withColumn("_head", (tx.n_words(c) <= most) & ~tx.matches(tx.strip(c), lx.COMPLETE))
+    marked = chunks.withColumn("_head", tx.at_most(c, most) & ~tx.matches(tx.strip(c), lx.COMPLETE))
     marked = marked.withColumn("_section", F.coalesce(F.last(F.when(F.col("_head"), tx.strip(c)), ignorenulls=True).over(by), F.lit("")))
     short = tx.first_words(F.col("_section"), most)
     prefixed = F.when((F.col("_section") != "") & ~c.startswith(F.substring(short, 1, 15)), F.concat(short, F.lit(". "), c)).otherwise(c)

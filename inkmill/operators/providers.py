@@ -9,7 +9,6 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,29 +65,42 @@ def _question(reply: str | None) -> tuple[str, str]:
 
 
 def ask_in_order(candidates: DataFrame, doc: str, order: str, provider, most: int = 8) -> DataFrame:
-    """M1, X18 and Q5 together: (doc, order, question) of accepted candidates, which have answer_key and prompts, one for each template.
+    """M1, X18 and Q5 together: the accepted candidates with their `question`. Candidates have answer_key and prompts, one for each template; other columns stay.
 
     Within a document each call takes the next template, and calls count even if their question is rejected. An answer that an accepted
-    question has used isn't asked again; after `most` questions nothing is. Rows hold prompts alone; callers join the rest back.
+    question has used isn't asked again; after `most` questions nothing is. A document's candidates come as one row, so that a batch holds many
+    documents and nothing before is computed twice for a join.
     """
+    own = [c for c in candidates.columns if c != doc]
+    kept = [c for c in own if c not in ("answer_key", "prompts")]
 
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        model, calls, questions, answers, out = loaded(provider), 0, set(), set(), []
-        for at, answer, prompts in rows.sort_values(order, kind="stable")[[order, "answer_key", "prompts"]].itertuples(index=False):
-            if len(out) == most:
-                break
-            if answer in answers:
+    def accepted(model: Model, at: list[int], keys: list, prompts: pa.Array) -> Iterator[tuple[int, str]]:
+        calls, questions, answers = 0, set(), set()
+        for i in at:
+            if keys[i] in answers:
                 continue
-            text, key = _question(answered(model, [prompts[calls % len(prompts)]], lx.QUESTION_TOKENS)[0])
+            turns = prompts[i]
+            text, key = _question(answered(model, [turns[calls % len(turns)].as_py()], lx.QUESTION_TOKENS)[0])
             calls += 1
             if key not in questions and len(key) >= 8 and not key.startswith("[error"):
                 questions.add(key)
-                answers.add(answer)
-                out.append((rows[doc].iloc[0], at, text))
-        return pd.DataFrame(out, columns=[doc, order, "question"])
+                answers.add(keys[i])
+                yield i, text
+                if len(questions) == most:
+                    return
 
-    fields = [candidates.schema[doc], candidates.schema[order], StructField("question", StringType())]
-    return candidates.select(doc, order, "answer_key", "prompts").groupBy(doc).applyInPandas(walk, StructType(fields))
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = loaded(provider)
+        for batch in batches:
+            lists = batch.column("_rows")
+            bounds, items = lists.offsets.to_pylist(), lists.values
+            keys, places, prompts = items.field("answer_key").to_pylist(), items.field(order).to_pylist(), items.field("prompts")
+            found = [(d, *x) for d, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)) for x in accepted(model, sorted(range(a, b), key=places.__getitem__), keys, prompts)]
+            parents, at = pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(doc).take(parents), *(items.field(c).take(at) for c in kept), pa.array([x[2] for x in found], pa.string())], names=[doc, *kept, "question"])
+
+    rows = candidates.groupBy(doc).agg(F.collect_list(F.struct(*own)).alias("_rows"))
+    return rows.mapInArrow(walk, StructType([candidates.schema[doc], *(candidates.schema[c] for c in kept), StructField("question", StringType())]))
 
 
 def _filled(template: str, **values: Column) -> Column:
@@ -108,10 +120,13 @@ def distractor_prompt(question: Column, correct: Column, context: Column) -> Col
 
 def modelled(answer_reply: Column, distractor_reply: Column) -> Column:
     """struct(answer, three): the model's answer and distractors, filled up to three by the fixed option whose turn it is; null if either reply is of no use."""
-    found, rest = quiz.llm_distractors(distractor_reply), tx.listed(lx.FALLBACK_OPTIONS)
-    three = tx.let(found, lambda d: F.concat(d, F.slice(rest, F.size(d) + 1, F.lit(3) - F.size(d))))
-    answer = quiz.llm_answer(answer_reply)
-    return F.when(answer.isNotNull() & found.isNotNull(), F.struct(answer.alias("answer"), three.alias("three")))
+    rest = tx.listed(lx.FALLBACK_OPTIONS)
+
+    def filled(answer: Column, found: Column) -> Column:
+        three = F.concat(found, F.slice(rest, F.size(found) + 1, F.lit(3) - F.size(found)))
+        return F.when(answer.isNotNull() & found.isNotNull(), F.struct(answer.alias("answer"), three.alias("three")))
+
+    return tx.let(quiz.llm_answer(answer_reply), lambda a: tx.let(quiz.llm_distractors(distractor_reply), lambda d: filled(a, d)))
 
 
 class EchoModel:

@@ -27,21 +27,24 @@ def tidy_question(q: Column) -> Column:
 
 
 def template_kind(answer: Column) -> Column:
-    out = F.lit("general")
-    for kind in ("process", "function", "definition"):
-        out = F.when(is_kind(answer, kind), kind).otherwise(out)
-    return out
+    def by(low: Column) -> Column:
+        out = F.lit("general")
+        for kind in ("process", "function", "definition"):
+            out = F.when(is_kind(answer, kind, low), kind).otherwise(out)
+        return out
+
+    return tx.let(F.lower(answer), by)
 
 
 def prompt(answer: Column, context: Column, call: Column) -> Column:
     """The template of the answer's kind whose turn it is at call number `call` (from 0), filled in."""
     chosen = _templates(answer)
-    return _filled(F.get(chosen, F.pmod(call, F.size(chosen)).cast("int")), answer, context)
+    return _filled(F.get(chosen, F.pmod(call, F.size(chosen)).cast("int")), tx.strip(answer), tx.strip(context))
 
 
 def prompts(answer: Column, context: Column) -> Column:
     """The prompts of all templates of the answer's kind, in order of their turns."""
-    return F.transform(_templates(answer), lambda text: _filled(text, answer, context))
+    return tx.let(tx.strip(answer), lambda a: tx.let(tx.strip(context), lambda c: F.transform(_templates(answer), lambda text: _filled(text, a, c))))
 
 
 def _templates(answer: Column) -> Column:
@@ -51,7 +54,7 @@ def _templates(answer: Column) -> Column:
 
 def _filled(text: Column, answer: Column, context: Column) -> Column:
     before, after = F.split_part(text, F.lit("{answer}"), F.lit(1)), F.split_part(text, F.lit("{answer}"), F.lit(2))
-    return F.concat(before, tx.strip(answer), F.replace(after, F.lit("{context}"), tx.strip(context)))
+    return F.concat(before, answer, F.replace(after, F.lit("{context}"), context))
 
 
 def parse_json(raw: Column, schema: str) -> Column:
@@ -73,7 +76,7 @@ def llm_distractors(raw: Column) -> Column:
     """The first three strings of the list, without blank ones; null if none is left. Numbers don't count as strings."""
     items = parse_json(raw, "distractors array<variant>")["distractors"]
     kept = F.filter(F.transform(items, _as_text), lambda x: x != "")
-    return F.when(F.size(kept) > 0, F.slice(kept, 1, 3))
+    return tx.let(kept, lambda k: F.when(F.size(k) > 0, F.slice(k, 1, 3)))
 
 
 def accept_questions(candidates: DataFrame, doc: str, order: str, most: int = 8) -> DataFrame:

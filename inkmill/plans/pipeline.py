@@ -53,7 +53,7 @@ def questions(chunked: DataFrame, most: int = 8, provider=None) -> DataFrame:
     rows = rows.withColumn("answer_key", quiz.question_key(F.substring("pseudo_answer", 1, 60)))
     if hasattr(provider, "load"):
         asked = rows.withColumn("prompts", quiz.prompts(answer, answers.focused(context, answer)))
-        kept = rows.join(providers.ask_in_order(asked, "doc_id", "chunk_id", provider, most), ["doc_id", "chunk_id"])
+        kept = providers.ask_in_order(asked, "doc_id", "chunk_id", provider, most)
     else:
         asked = rows.withColumn("question", quiz.tidy_question(provider.column(answer, context)))
         kept = quiz.accept_questions(asked.withColumn("question_key", quiz.question_key(F.col("question"))), "doc_id", "chunk_id", most)

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from inkmill.functions import lexicon as lx
+from inkmill.functions import text as tx
 from inkmill.operators import providers, quiz
 from inkmill.plans import pipeline, registry
 
@@ -93,3 +94,22 @@ def test_replies_by_hand(spark):
     got = {r["id"]: (r["answer"], r["three"]) for r in registry.model_replies(spark, "").collect()}
     assert got[1] == ("Otak", ["a", "b", "c"]) and got[2] == ("x", ["satu", *lx.FALLBACK_OPTIONS[1:]]) and got[3] == ("x", ["a", "b", lx.FALLBACK_OPTIONS[2]])
     assert all(got[i] == (None, None) for i in (4, 5, 6, 7))
+
+
+def test_quiz_by_model_reads_each_document_once(spark, data):
+    """Questions are accepted without a second pass over the chunks, and documents that share an id keep one row per question."""
+    rows = registry.quiz_by_model(spark, data)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [doc_id") == 1
+    text = "Memori kerja adalah tempat data yang sedang dipakai oleh program komputer."
+    chunked = spark.createDataFrame([(1, 0, text), (1, 0, "Layar datar merupakan alat keluaran yang menampilkan hasil kerja program."), (None, 0, text)], "doc_id long, chunk_id int, text string")
+    asked = pipeline.questions(chunked, provider=providers.EchoModel()).collect()
+    assert sorted((r["doc_id"] or 0, r["context"][:6]) for r in asked) == [(0, "Memori"), (1, "Layar "), (1, "Memori")]
+
+
+def test_word_limits(spark):
+    texts = [None, "", " \n", "a", " a b ", "a b c", "  a b c d", "a b c d e\n", "a\tb\tc d e f"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for n in (1, 3, 4):
+        want = rows.select((tx.n_words(F.col("t")) <= n).alias("a"), F.array_join(F.slice(tx.words(F.col("t")), 1, n), " ").alias("b")).collect()
+        assert rows.select(tx.at_most(F.col("t"), n).alias("a"), tx.first_words(F.col("t"), n).alias("b")).collect() == want
