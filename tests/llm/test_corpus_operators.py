@@ -349,3 +349,28 @@ def brute_links_once(rows_):
                 x, y = root(a), root(b)
                 of[max(x, y)] = min(x, y)
     return [(i, len(sets[i]), root(i)) for i in ids]
+
+
+@pytest.mark.parametrize("size", [{}, {"block_bytes": 20_000, "fan": 8}])
+def test_bigram_scores(spark, odd, docs, data, size):
+    """Every bigram of training counts, also of words that occur once; blocks of any size give the same scores."""
+    for df in (odd, docs):
+        tokens = [(i, [*re.findall(WORD, low(t)), "\0"]) for i, t in pairs(df)]
+        train = [ws for i, ws in tokens if zlib.crc32(b"" if i is None else str(i).encode()) % 5 != 1]
+        c = collections.Counter(w for ws in train for w in ws)
+        n, v = sum(c.values()), len(c)
+        two = collections.Counter(x for ws in train for x in zip(ws, ws[1:], strict=False))
+        kinds, total = collections.Counter(h for h, _ in two), collections.Counter()
+        for (h, _), k in two.items():
+            total[h] += k
+
+        def p(h, w):
+            one = (c[w] + 0.5) / (n + 0.5 * (v + 1))
+            return (max(two[h, w] - 0.75, 0) + 0.75 * kinds[h] * one) / total[h] if total.get(h) else one
+
+        want = sorted((len(ws), sum(math.log10(p(h, w)) for h, w in zip([None, *ws], ws, strict=False))) for _, ws in tokens)
+        got = sorted((r["n_tokens"], r["score"]) for r in score_texts(df, order=2, **size).collect())
+        # Codes are exact to half a step of 9 / 32766 in log10.
+        assert [g[0] for g in got] == [w[0] for w in want] and all(abs(g[1] - w[1]) <= 3e-4 * w[0] for g, w in zip(got, want, strict=True))
+    if not size:
+        assert sorted((r["n_tokens"], r["score"]) for r in queries.QUERIES["op8_lm_scoring"](spark, data).collect()) == got
