@@ -23,14 +23,15 @@ def score(sentence: Column) -> Column:
 def _points(sentence: Column, tokens: Column) -> Column:
     n = F.size(tokens)
     formula = sentence.rlike("[=→←≤≥≠+*/-]") & tx.matches(sentence, lx.FORMULA)
-    out = tx.matches(sentence, lx.BAD_START) | tx.matches(sentence, r"^\d+") | formula | tx.matches(sentence, lx.EMOJI_TWICE)
+    emoji = (F.octet_length(sentence) != F.length(sentence)) & tx.matches(sentence, lx.EMOJI_TWICE)
+    out = tx.matches(sentence, lx.BAD_START) | tx.matches(sentence, r"^\d+") | formula | emoji
     kind = tx.let(F.lower(sentence), lambda low: (
         F.when(is_kind(sentence, "definition", low), 10.0).when(is_kind(sentence, "function", low), 5.0).when(is_kind(sentence, "process", low), 3.0)
         .when(F.arrays_overlap(tokens, tx.listed(lx.BARE_DEFINERS)), 1.5).otherwise(0.0)
     ))
     length = F.when((n >= 10) & (n <= 35), 2.0).when((n >= 6) & (n < 10), 0.5).when(n > 45, -1.5).otherwise(0.0)
-    bracket = F.when(sentence.rlike(r"\([A-Z]{2,}\)"), 1.5).otherwise(0.0)
-    end = F.when(tx.last_char(tx.strip(sentence)).isin(".", "!", "?"), 0.5).otherwise(0.0)
+    bracket = F.when(sentence.contains("(") & sentence.rlike(r"\([A-Z]{2,}\)"), 1.5).otherwise(0.0)
+    end = F.when(tx.last_char(F.get(tokens, n - 1)).isin(".", "!", "?"), 0.5).otherwise(0.0)
     return F.when((n < 6) | out, -1.0).otherwise(kind + length + bracket + end)
 
 

@@ -18,10 +18,10 @@ def paragraphs(text: Column) -> Column:
 
 def info(text: Column) -> Column:
     """Struct of type, has_bullet, has_numbered, word_count, lines."""
-    return tx.let(tx.lines(text), lambda rows: _info(text, rows))
+    return tx.let(tx.lines(text), lambda rows: F.struct(*_class(rows), tx.n_words(text).alias("word_count"), rows.alias("lines")))
 
 
-def _info(text: Column, rows: Column) -> Column:
+def _class(rows: Column) -> tuple[Column, Column, Column]:
     total = F.greatest(F.size(rows), F.lit(1))
     bullets = F.size(F.filter(rows, lambda x: tx.matches(x, lx.BULLET)))
     numbers = F.size(F.filter(rows, lambda x: tx.matches(x, lx.NUMBER)))
@@ -30,7 +30,7 @@ def _info(text: Column, rows: Column) -> Column:
         F.when(bullets / total > 0.5, "bullet").when(numbers / total > 0.4, "numbered_list").when(complete / total > 0.6, "structured")
         .when(F.size(rows) <= 2, "heading").otherwise("mixed")
     )
-    return F.struct(kind.alias("type"), (bullets > 0).alias("has_bullet"), (numbers > 0).alias("has_numbered"), tx.n_words(text).alias("word_count"), rows.alias("lines"))
+    return kind.alias("type"), (bullets > 0).alias("has_bullet"), (numbers > 0).alias("has_numbered")
 
 
 def merge_short(paras: Column, least: int = lx.MERGE_WORDS) -> Column:
@@ -120,7 +120,7 @@ def bulleted(text: Column) -> Column:
 
 def reconstructed(text: Column) -> Column:
     """By the class of P2."""
-    return tx.let(info(text), lambda kind: _by_class(text, kind))
+    return tx.let(tx.let(tx.lines(text), lambda rows: F.struct(*_class(rows))), lambda kind: _by_class(text, kind))
 
 
 def _by_class(text: Column, kind: Column) -> Column:

@@ -12,11 +12,12 @@ from inkmill.functions import text as tx
 def expand_slang(text: Column) -> Column:
     """Whole words in any case, each by its expansion in lower case. No expansion holds a key, so one split does for all.
 
-    The split keeps word runs and what lies between them apart; each run is looked up in a literal map.
+    The split keeps word runs and what lies between them apart; each run is looked up in a literal map. Only texts that may hold a key are split.
     """
+    some = text.rlike(rf"(?U)(?i)(?<!\w)(?:{'|'.join(lx.SLANG)})(?!\w)") | text.rlike(tx.FOLDED)
     table = F.create_map(*[F.lit(x) for kv in lx.SLANG.items() for x in kv])
     pieces = F.split(text, r"(?U)(?<=\w)(?=\W)|(?<=\W)(?=\w)")
-    return F.array_join(F.transform(pieces, lambda p: F.coalesce(F.try_element_at(table, F.lower(p)), p)), "")
+    return F.when(some, F.array_join(F.transform(pieces, lambda p: F.coalesce(F.try_element_at(table, F.lower(p)), p)), "")).otherwise(text)
 
 
 def acronyms(text: Column, pattern: str = "(?U)" + lx.ACRONYM) -> Column:

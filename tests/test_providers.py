@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from inkmill.functions import lexicon as lx
 from inkmill.functions import text as tx
-from inkmill.operators import providers, quiz
+from inkmill.operators import providers, quiz, rewrite
 from inkmill.plans import pipeline, registry
 
 
@@ -107,6 +107,16 @@ def test_quiz_by_model_reads_each_document_once(spark, data):
     assert sorted((r["doc_id"] or 0, r["context"][:6]) for r in asked) == [(0, "Memori"), (1, "Layar "), (1, "Memori")]
 
 
+def test_slang_in_any_case(spark):
+    """Texts without a key aren't split, texts with one in any case, script or place are."""
+    texts = ["", "tanpa singkatan", "yg", "(Dgn) x_yg", "tdK\u0301", "\u212al\u200d ini", "sdh\u2003blm", "\u212al", "aYG", "\u017fdh", "\u017f sdh"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in rows.select(rewrite.expand_slang(F.col("t"))).collect()]
+    keys = {k.lower(): v for k, v in lx.SLANG.items()}
+    pieces = rows.select(F.split("t", r"(?U)(?<=\w)(?=\W)|(?<=\W)(?=\w)").alias("p")).collect()
+    assert got == ["".join(keys.get(x.lower(), x) for x in r["p"]) for r in pieces] and got[2] == "yang" and got[7] == "kalau"
+
+
 def test_word_limits(spark):
     texts = [None, "", " \n", "a", " a b ", "a b c", "  a b c d", "a b c d e\n", "a\tb\tc d e f"]
     rows = spark.createDataFrame([(t,) for t in texts], "t string")
