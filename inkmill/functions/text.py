@@ -61,7 +61,8 @@ def lines(c: Column) -> Column:
 
 def sentences(c: Column) -> Column:
     """Stripped pieces between white space that follows a full stop, an exclamation or a question mark."""
-    return F.filter(F.transform(F.split(c, f"(?<=[.!?]){SPACES}"), strip), lambda x: x != "")
+    # A split takes all white space between two pieces, so that only the text's ends need stripping.
+    return F.filter(F.split(strip(c), f"(?<=[.!?]){SPACES}"), lambda x: x != "")
 
 
 def last_char(c: Column) -> Column:

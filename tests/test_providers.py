@@ -123,3 +123,10 @@ def test_word_limits(spark):
     for n in (1, 3, 4):
         want = rows.select((tx.n_words(F.col("t")) <= n).alias("a"), F.array_join(F.slice(tx.words(F.col("t")), 1, n), " ").alias("b")).collect()
         assert rows.select(tx.at_most(F.col("t"), n).alias("a"), tx.first_words(F.col("t"), n).alias("b")).collect() == want
+
+
+def test_sentence_ends(spark):
+    texts = [None, "", " \n", ".", " . . a", "　a.  b!\x85c? ", "a.b. \n\t c \xa0", "?!  x", " a . b "]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    want = rows.select(F.filter(F.transform(F.split("t", f"(?<=[.!?]){tx.SPACES}"), tx.strip), lambda x: x != "")).collect()
+    assert rows.select(tx.sentences(F.col("t"))).collect() == want
