@@ -69,14 +69,15 @@ def choices(asked: DataFrame, seed: str = "0", provider=None) -> DataFrame:
     own = Window.partitionBy("doc_id")
     anchor, question, context = F.col("_anchor"), F.col("question"), F.col("context")
     rows = asked.withColumn("_anchor", tx.strip(F.col("pseudo_answer")))
+    # Before any provider is asked: its workers then don't stand beside those that asked for questions, and replies aren't shuffled.
+    rows = rows.withColumn("_pool", F.collect_set(F.when(filters.is_clean_option(F.col("pseudo_answer")), anchor)).over(own))
     model = F.lit(None).cast("struct<answer:string,three:array<string>>")
     if provider:
         rows = providers.replies(rows.withColumn("_prompt", providers.answer_prompt(question, anchor, context)), "_prompt", "_first", provider, lx.ANSWER_TOKENS)
         rows = rows.withColumn("_prompt", providers.distractor_prompt(question, quiz.llm_answer(F.col("_first")), context))
         rows = providers.replies(rows, "_prompt", "_second", provider, lx.DISTRACTOR_TOKENS)
         model = providers.modelled(F.col("_first"), F.col("_second"))
-    pool = F.collect_set(F.when(filters.is_clean_option(F.col("pseudo_answer")), anchor)).over(own)
-    rows = rows.withColumns({"_pool": pool, "_model": model})
+    rows = rows.withColumn("_model", model)
     rows = rows.select("*", tx.once(F.coalesce(F.col("_model.three"), distractors.misleading(anchor, context))).alias("_found"))
     key = F.concat_ws("|", F.lit(seed), F.col("doc_id").cast("string"), F.col("chunk_id").cast("string"))
     rows = rows.withColumn("_o", distractors.options(F.coalesce(F.col("_model.answer"), anchor), F.col("_found"), F.col("_pool"), key))
